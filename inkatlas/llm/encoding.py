@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,9 +43,20 @@ def chains() -> list[tuple[str, ...]]:
     return once + twice + single + lost
 
 
-@lru_cache
+def _kept(kind: str, key: str, make):
+    """A value made once in each process (a plain function, so that it can be sent to executors by value)."""
+    kept = globals().setdefault("_KEPT", {})
+    if (kind, key) not in kept:
+        kept[kind, key] = make()
+    return kept[kind, key]
+
+
 def _table(name: str) -> tuple[dict[int, str], dict[str, int], frozenset[int]]:
     """Byte to character, character to byte, and the undefined bytes, which pass as control characters."""
+    return _kept("table", name, lambda: _make_table(name))
+
+
+def _make_table(name: str) -> tuple[dict[int, str], dict[str, int], frozenset[int]]:
     forth: dict[int, str] = {}
     undefined = set()
     for b in range(128, 256):
@@ -182,9 +192,8 @@ def forms_of(word: str) -> Iterator[tuple[str, int]]:
                 yield form, number
 
 
-@lru_cache
 def chains_kept() -> tuple[tuple[str, ...], ...]:
-    return tuple(chains())
+    return _kept("chains", "", lambda: tuple(chains()))
 
 
 _PREFIX = 12
