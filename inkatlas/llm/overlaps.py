@@ -16,8 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from inkatlas.operators.skew import lookup
 from inkatlas.storage import Stored
@@ -33,7 +31,13 @@ TOLERANCE, PART = 3.0, 0.006
 #: Both drawings must be covered by agreeing points to this share.
 COVERED = 0.85
 
-SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int"
+SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, u float, v float, part float, aspect float"
+#: Seeds that meet also agree in place, part of the drawing and shape of its box, to SLACK + STEP / points: a point may
+#: be missing, at most one step of the pen.
+SLACK, STEP = 0.05, 1.5
+
+
+PLACE = ("u", "v", "part", "aspect")
 
 
 def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
@@ -44,6 +48,12 @@ def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
     return F.transform(points, lambda p: p["x"].cast("float")), F.transform(points, lambda p: p["y"].cast("float")), F.transform(clean, F.size)
 
 
+def _moving(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without points that repeat the one before; they carry no direction."""
+    moved = np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]
+    return x[moved], y[moved]
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h.astype(np.uint64)
     h ^= h >> np.uint64(31)
@@ -69,7 +79,12 @@ def _windows(x: np.ndarray, y: np.ndarray, row: np.ndarray, box: np.ndarray) ->
     lens = length[seg]
     half = K // 2
     balance = np.log(np.maximum(lens[:, :half].sum(1), 1e-3) / np.maximum(lens[:, -half:].sum(1), 1e-3))
-    return {"start": start, "angle": angle[seg], "ratio": ratio[seg[:, :-1]], "balance": balance, "box": box, "cx": x[start[:, None] + np.arange(K + 1)].mean(1), "cy": y[start[:, None] + np.arange(K + 1)].mean(1), "row": row[start]}
+    points = start[:, None] + np.arange(K + 1)
+    cx, cy, b = x[points].mean(1), y[points].mean(1), box[row[start]]
+    place = {"u": (cx - b[:, 0]) / np.maximum(b[:, 2], 1e-3), "v": (cy - b[:, 1]) / np.maximum(b[:, 3], 1e-3)}
+    place["part"] = np.log(np.maximum(lens.sum(1), 1e-3) / np.maximum(np.hypot(b[:, 2], b[:, 3]), 1e-3))
+    place["aspect"] = np.log(np.maximum(b[:, 2], 1e-3) / np.maximum(b[:, 3], 1e-3))
+    return {**place, "start": start, "angle": angle[seg], "ratio": ratio[seg[:, :-1]], "balance": balance, "row": row[start]}
 
 
 def _features(w: dict[str, np.ndarray], turned: np.ndarray) -> np.ndarray:
@@ -77,9 +92,7 @@ def _features(w: dict[str, np.ndarray], turned: np.ndarray) -> np.ndarray:
     angle = np.where(turned[:, None], (w["angle"][:, ::-1] + DIRECTIONS / 2), w["angle"])
     ratio = np.where(turned[:, None], -w["ratio"][:, ::-1], w["ratio"])
     lo, width = RATIO_BINS[0], RATIO_BINS[1] - RATIO_BINS[0]
-    b = w["box"][w["row"]]
-    px = (w["cx"] - b[:, 0]) / np.maximum(b[:, 2], 1e-3) * CELLS
-    py = (w["cy"] - b[:, 1]) / np.maximum(b[:, 3], 1e-3) * CELLS
+    px, py = w["u"] * CELLS, w["v"] * CELLS
     return np.concatenate([np.mod(angle, DIRECTIONS), np.clip((ratio - lo) / width, -0.5, len(RATIO_BINS) - 0.5) + 1, px[:, None], py[:, None]], axis=1)
 
 
@@ -108,9 +121,7 @@ def seeds_of(pdf: pd.DataFrame, probing: bool) -> pd.DataFrame:
                 cuts = np.cumsum(lens)[:-1]
                 x, y = np.concatenate(np.split(x, cuts)[::-1]), np.concatenate(np.split(y, cuts)[::-1])
             if len(x):
-                # A repeated point carries no direction.
-                moved = np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]
-                x, y = x[moved], y[moved]
+                x, y = _moving(x, y)
                 xs.append(x)
                 ys.append(y)
                 reps.append(rep)
@@ -127,12 +138,12 @@ def seeds_of(pdf: pd.DataFrame, probing: bool) -> pd.DataFrame:
         short = np.flatnonzero(counts <= K)
         if len(short) and not order:
             whole = np.array([_short_hash(x[begin[i] : begin[i] + counts[i]], y[begin[i] : begin[i] + counts[i]]) for i in short], np.uint64)
-            out.append(pd.DataFrame({"rep": reps[short], "hash": whole.view(np.int64), "turned": False, "at": 0, "of": counts[short]}))
+            aspect = np.log(np.maximum(box[short, 2], 1e-3) / np.maximum(box[short, 3], 1e-3)).astype(np.float32)
+            out.append(pd.DataFrame({"rep": reps[short], "hash": whole.view(np.int64), "turned": False, "at": 0, "of": counts[short], "u": np.float32(0), "v": np.float32(0), "part": np.float32(0), "aspect": aspect}))
         w = _windows(x, y, row, box)
         if not w or not len(w["start"]):
             continue
         sure = np.abs(w["balance"]) > 0.05
-        passes = [(np.flatnonzero(w["balance"] > 0), None)]
         turned = w["balance"] > 0
         base = _features(w, turned)
         bins = np.floor(base).astype(np.int64)
@@ -157,15 +168,14 @@ def seeds_of(pdf: pd.DataFrame, probing: bool) -> pd.DataFrame:
             # Where both reading directions are about equal, the other one is tried too.
             other = np.flatnonzero(keep & ~sure)
             if len(other):
-                flipped = _features({k: (v if k == "box" else v[other]) for k, v in w.items()}, ~turned[other])
+                flipped = _features({k: v[other] for k, v in w.items()}, ~turned[other])
                 fb = np.floor(flipped).astype(np.int64)
                 fb[:, :K] %= DIRECTIONS
                 parts.append((other, _hash(fb), ~turned[other]))
         for which, h, t in parts:
-            out.append(pd.DataFrame({"rep": reps[r[which]], "hash": h.view(np.int64), "turned": t, "at": (at[which] + (1 << 16) * order).astype(np.int32), "of": counts[r[which]].astype(np.int32)}))
-        del passes
+            out.append(pd.DataFrame({"rep": reps[r[which]], "hash": h.view(np.int64), "turned": t, "at": (at[which] + (1 << 16) * order).astype(np.int32), "of": counts[r[which]].astype(np.int32), **{c: w[c][which].astype(np.float32) for c in PLACE}}))
     if not out:
-        return pd.DataFrame({"rep": np.zeros(0, np.int64), "hash": np.zeros(0, np.int64), "turned": np.zeros(0, bool), "at": np.zeros(0, np.int32), "of": np.zeros(0, np.int32)})
+        return pd.DataFrame({"rep": np.zeros(0, np.int64), "hash": np.zeros(0, np.int64), "turned": np.zeros(0, bool), "at": np.zeros(0, np.int32), "of": np.zeros(0, np.int32), **{c: np.zeros(0, np.float32) for c in PLACE}})
     return pd.concat(out, ignore_index=True)
 
 
@@ -244,6 +254,9 @@ def _pad(values, size: int) -> np.ndarray:
 def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Align candidate pairs ``(rep_a, rep_b, at_a, at_b, turned, xs_a.., seeds)`` and report their coverage."""
     for whole in batches:
+        for side in ("a", "b"):
+            kept = [_moving(np.asarray(x, np.float64), np.asarray(y, np.float64)) for x, y in zip(whole[f"xs_{side}"], whole[f"ys_{side}"])]
+            whole = whole.assign(**{f"xs_{side}": [k[0] for k in kept], f"ys_{side}": [k[1] for k in kept]})
         ends = np.maximum(whole["xs_a"].map(len), whole["xs_b"].map(len)).to_numpy()
         order = np.argsort(ends, kind="stable")
         i = 0
@@ -313,6 +326,9 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     l, r = told.alias("l"), asked.alias("r")
     # Drawings differ by a few points at most when 85 % of both agree.
     like = (F.col("l.of") >= COVERED * F.col("r.of") - 1) & (F.col("r.of") >= COVERED * F.col("l.of") - 1)
+    slack = F.lit(SLACK) + F.lit(STEP) / F.least("l.of", "r.of")
+    for c, times in zip(PLACE, (1.0, 1.0, 1.5, 2.0)):
+        like = like & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= slack * times)
     meets = l.join(r, (F.col("l.hash") == F.col("r.hash")) & like).select(
         F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"), F.col("l.at").alias("at_a"), (F.col("r.at") % (1 << 16)).alias("at_b"), F.col("r.at").bitwiseAND(1 << 16).alias("order"), (F.col("l.turned") != F.col("r.turned")).alias("turned")
     )
@@ -342,5 +358,3 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     kinds = F.element_at(F.array(F.lit("record"), F.lit("ink"), F.lit("near")), F.col("b.k") + 1)
     return first.select("train_row", "row_id", kinds.alias("kind"), (-F.col("b.c")).alias("coverage"))
 
-
-__all__ = ["cross_split_pairs", "seeds_of", "covered", "align", "flat_points", "T", "Window"]
