@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 LEAST_NORM = 1e-8
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, although lambdas inside use it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product in order of the elements; null if an array is null or the lengths differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,7 +26,7 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(LEAST_NORM)))
+    return let(F.greatest(norm(v), F.lit(LEAST_NORM)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def finite(v: Column, dims: int) -> Column:
@@ -31,13 +38,16 @@ def finite(v: Column, dims: int) -> Column:
 def quantize(v: Column) -> Column:
     """``(values ARRAY<TINYINT>, scale)``: largest magnitude / 127 is the step, halves round to even; a zero vector has scale 1."""
     top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    scale = F.when(top > 0, top / 127).otherwise(F.lit(1.0))
-    values = F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x.cast("double") / scale))).cast("tinyint"))
-    return F.struct(values.alias("values"), scale.alias("scale"))
+
+    def packed(scale: Column) -> Column:
+        values = F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x.cast("double") / scale))).cast("tinyint"))
+        return F.struct(values.alias("values"), scale.alias("scale"))
+
+    return let(F.when(top > 0, top / 127).otherwise(F.lit(1.0)), packed)
 
 
 def dequantize(q: Column) -> Column:
-    return F.transform(q["values"], lambda x: x.cast("double") * q["scale"])
+    return let(q, lambda p: F.transform(p["values"], lambda x: x.cast("double") * p["scale"]))
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -93,11 +93,3 @@ def counter_deltas(snapshots: DataFrame, keys: Sequence[str], at: str, counter:
     """Increase of a counter since the key's snapshot before; null for a key's first, and never below 0 (a restart)."""
     before = F.lag(counter).over(Window.partitionBy(*keys).orderBy(at))
     return snapshots.withColumn("delta", F.greatest(F.col(counter) - before, F.lit(0))).withColumn("delta", F.when(before.isNotNull(), F.col("delta")))
-
-
-def sorted_index_percentile(values: Column, q: float, last: bool = False) -> Column:
-    """The element at floor(n * q) of the sorted values, counted from 0 (of (n - 1) * q if ``last``)."""
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    at = F.floor((n - 1 if last else n) * F.lit(q)).cast("int")
-    return F.get(ordered, F.least(at, n - 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,11 +54,11 @@ def distinct_and_mode(freqs: DataFrame, keys: Sequence[str], value: str) -> Data
 CELLS = 4096
 
 
-def weighted_percentiles(freqs: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+def weighted_percentiles(freqs: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float | Callable[[Column], Column]]) -> DataFrame:
     """Per key the exact percentiles ``shares`` (name: share) of a numeric value from its frequencies.
 
     The percentile at share q is the smallest value v such that at least ceil(q * n) of the n non-null rows are <= v
-    (the ``percentile_disc`` of SQL). First pass: sums in CELLS equal cells between a key's smallest and largest value
+    (the ``percentile_disc`` of SQL). Instead of a share, a function may give the rank, counted from 1, from n. First pass: sums in CELLS equal cells between a key's smallest and largest value
     tell the cell that holds each percentile, with at most CELLS rows per key; second pass: a running sum over the
     distinct values of that cell only. Nulls count nowhere; a key without a value is missing from the result.
     """
@@ -77,7 +77,7 @@ def weighted_percentiles(freqs: DataFrame, keys: Sequence[str], value: str, shar
     )
     cells = placed.groupBy(*keys, "_cell").agg(F.sum("freq").alias("_sum"), F.first("_n").alias("_n"))
     upto = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_cell"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("_n") * F.lit(float(q))).alias("rank")) for name, q in shares.items()]))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (q(F.col("_n")) if callable(q) else F.ceil(F.col("_n") * F.lit(float(q)))).cast("bigint").alias("rank")) for name, q in shares.items()]))
     targets = (
         cells.withColumn("_upto", upto)
         .withColumn("_w", wanted)
