@@ -31,13 +31,13 @@ TOLERANCE, PART = 3.0, 0.006
 #: Both drawings must be covered by agreeing points to this share.
 COVERED = 0.85
 
-SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, u float, v float, part float, aspect float"
-#: Seeds that meet also agree in place, part of the drawing and shape of its box, to SLACK + STEP / points: a point may
-#: be missing, at most one step of the pen.
+SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, u float, v float, px float, py float, qx float, qy float, span float"
+#: Where the window lies in the box, its middle and last point as seen from its first, and its length.
+PLACE = ("u", "v", "px", "py", "qx", "qy", "span")
+#: Seeds that meet agree in place to SLACK + STEP / points, as an extreme point may be missing, at most one step of the pen,
 SLACK, STEP = 0.05, 1.5
-
-
-PLACE = ("u", "v", "part", "aspect")
+#: and their windows in shape, to a part DRIFT of their length and a shift of JITTER units on either side.
+DRIFT, JITTER = 0.01, 3.0
 
 
 def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
@@ -80,11 +80,19 @@ def _windows(x: np.ndarray, y: np.ndarray, row: np.ndarray, box: np.ndarray) ->
     half = K // 2
     balance = np.log(np.maximum(lens[:, :half].sum(1), 1e-3) / np.maximum(lens[:, -half:].sum(1), 1e-3))
     points = start[:, None] + np.arange(K + 1)
-    cx, cy, b = x[points].mean(1), y[points].mean(1), box[row[start]]
-    place = {"u": (cx - b[:, 0]) / np.maximum(b[:, 2], 1e-3), "v": (cy - b[:, 1]) / np.maximum(b[:, 3], 1e-3)}
-    place["part"] = np.log(np.maximum(lens.sum(1), 1e-3) / np.maximum(np.hypot(b[:, 2], b[:, 3]), 1e-3))
-    place["aspect"] = np.log(np.maximum(b[:, 2], 1e-3) / np.maximum(b[:, 3], 1e-3))
-    return {**place, "start": start, "angle": angle[seg], "ratio": ratio[seg[:, :-1]], "balance": balance, "row": row[start]}
+    wx, wy, b = x[points], y[points], box[row[start]]
+    place = {"u": (wx.mean(1) - b[:, 0]) / np.maximum(b[:, 2], 1e-3), "v": (wy.mean(1) - b[:, 1]) / np.maximum(b[:, 3], 1e-3), "span": lens.sum(1)}
+    return {**place, "wx": wx, "wy": wy, "start": start, "angle": angle[seg], "ratio": ratio[seg[:, :-1]], "balance": balance, "row": row[start]}
+
+
+def _shape(w: dict[str, np.ndarray], turned: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns PLACE of windows read in their direction."""
+    out = {c: w[c] for c in ("u", "v", "span")}
+    for name, key in (("x", "wx"), ("y", "wy")):
+        along = np.where(turned[:, None], w[key][:, ::-1], w[key])
+        for point, k in (("p", (K + 1) // 2), ("q", K)):
+            out[point + name] = (along[:, k] - along[:, 0]) / np.maximum(w["span"], 1e-3)
+    return {c: out[c].astype(np.float32) for c in PLACE}
 
 
 def _features(w: dict[str, np.ndarray], turned: np.ndarray) -> np.ndarray:
@@ -138,8 +146,7 @@ def seeds_of(pdf: pd.DataFrame, probing: bool) -> pd.DataFrame:
         short = np.flatnonzero(counts <= K)
         if len(short) and not order:
             whole = np.array([_short_hash(x[begin[i] : begin[i] + counts[i]], y[begin[i] : begin[i] + counts[i]]) for i in short], np.uint64)
-            aspect = np.log(np.maximum(box[short, 2], 1e-3) / np.maximum(box[short, 3], 1e-3)).astype(np.float32)
-            out.append(pd.DataFrame({"rep": reps[short], "hash": whole.view(np.int64), "turned": False, "at": 0, "of": counts[short], "u": np.float32(0), "v": np.float32(0), "part": np.float32(0), "aspect": aspect}))
+            out.append(pd.DataFrame({"rep": reps[short], "hash": whole.view(np.int64), "turned": False, "at": 0, "of": counts[short], **dict.fromkeys(PLACE, np.float32(0))}))
         w = _windows(x, y, row, box)
         if not w or not len(w["start"]):
             continue
@@ -173,7 +180,7 @@ def seeds_of(pdf: pd.DataFrame, probing: bool) -> pd.DataFrame:
                 fb[:, :K] %= DIRECTIONS
                 parts.append((other, _hash(fb), ~turned[other]))
         for which, h, t in parts:
-            out.append(pd.DataFrame({"rep": reps[r[which]], "hash": h.view(np.int64), "turned": t, "at": (at[which] + (1 << 16) * order).astype(np.int32), "of": counts[r[which]].astype(np.int32), **{c: w[c][which].astype(np.float32) for c in PLACE}}))
+            out.append(pd.DataFrame({"rep": reps[r[which]], "hash": h.view(np.int64), "turned": t, "at": (at[which] + (1 << 16) * order).astype(np.int32), "of": counts[r[which]].astype(np.int32), **_shape({k: v[which] for k, v in w.items()}, t)}))
     if not out:
         return pd.DataFrame({"rep": np.zeros(0, np.int64), "hash": np.zeros(0, np.int64), "turned": np.zeros(0, bool), "at": np.zeros(0, np.int32), "of": np.zeros(0, np.int32), **{c: np.zeros(0, np.float32) for c in PLACE}})
     return pd.concat(out, ignore_index=True)
@@ -327,8 +334,10 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     # Drawings differ by a few points at most when 85 % of both agree.
     like = (F.col("l.of") >= COVERED * F.col("r.of") - 1) & (F.col("r.of") >= COVERED * F.col("l.of") - 1)
     slack = F.lit(SLACK) + F.lit(STEP) / F.least("l.of", "r.of")
-    for c, times in zip(PLACE, (1.0, 1.0, 1.5, 2.0)):
-        like = like & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= slack * times)
+    # A short drawing's only seed has span 0 and no shape to compare.
+    drift = F.lit(DRIFT) + F.lit(2 * JITTER) / F.greatest(F.least("l.span", "r.span"), F.lit(1.0))
+    for c in PLACE[:-1]:
+        like = like & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= (slack if c in "uv" else drift))
     meets = l.join(r, (F.col("l.hash") == F.col("r.hash")) & like).select(
         F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"), F.col("l.at").alias("at_a"), (F.col("r.at") % (1 << 16)).alias("at_b"), F.col("r.at").bitwiseAND(1 << 16).alias("order"), (F.col("l.turned") != F.col("r.turned")).alias("turned")
     )
