@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,42 +42,66 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
 
 
-#: The order in which markup is removed; each pattern's matches become the replacement.
+#: Elements whose contents are no visible text.
+HIDDEN = "syntaxhighlight|source|pre|code|score|timeline|graph|mapframe|chem|ce"
+#: Patterns of markup in the order of their removal, and what takes their place.
 MARKUP = (
     (r"(?s)<!--.*?-->", ""),
-    (r"(?s)<(math|nowiki|pre|code|syntaxhighlight|ref|gallery|timeline)\b[^>]*>.*?</\1>", " "),
-    (r"(?s)<[^<>]*>", ""),
-    (r"(?s)\{\{[^{}]*\}\}", ""),
-    (r"(?s)\{\{[^{}]*\}\}", ""),
-    (r"(?s)\{\|.*?\|\}", ""),
-    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"),
-    (r"\[https?://[^\s\]]+ ?([^\]]*)\]", "$1"),
-    (r"https?://\S+", ""),
-    (r"'{2,}", ""),
-    (r"(?m)^=+ *(.*?) *=+ *$", "$1"),
-    (r"(?m)^[*#:;]+ *", ""),
+    (r"(?si)<math\b[^>]*>.*?</math>", " "),
+    (rf"(?si)<({HIDDEN})\b[^>]*>.*?</\1>", " "),
+    (r"</?[A-Za-z][^<>]*/?>", ""),
+    (r"https?://[^\s\]|}<>]+", ""),
+    (r"__[A-Z]+__", ""),
+    (r"(?U)\|\s*[\w-]+\s*=", " "),
 )
+#: Tokens of markup in the order of their removal; those that separate become a space.
+TOKENS = ("'''", "''", "{{", "}}", "[[", "]]", "[", "]", "{|", "|}", "|-", "|+", "|", "!!")
+SEPARATORS = ("|", "!!", "|-", "|+")
+#: Fixed value: marks of lists and headings at the ends of lines.
+LINE_MARKS = r"(?md)^[*#:;]+|^=+|=+\s*$"
 #: Entities that are replaced, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
 def unescape_basic(text: Column) -> Column:
     return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
 
 
-def visible_text(wikitext: Column) -> Column:
-    """Wiki text without comments, math, code, tags, templates, tables, links' targets and emphasis."""
-    return unescape_basic(reduce(lambda c, m: F.regexp_replace(c, m[0], m[1]), MARKUP, wikitext))
+def _unescape_all(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(text: Column) -> Column:
+    """Every HTML entity replaced, in a vectorised Python function; null for null."""
+    return F.pandas_udf(_unescape_all, "string")(text)
+
+
+def marked_down(wikitext: Column) -> Column:
+    """Wiki text without comments, math, code, tags, addresses, parameters' names and markup; entities stay."""
+    text = reduce(lambda c, m: F.regexp_replace(c, m[0], m[1]), MARKUP, wikitext)
+    text = reduce(lambda c, t: F.replace(c, F.lit(t), F.lit(" " if t in SEPARATORS else "")), TOKENS, text)
+    return F.regexp_replace(text, LINE_MARKS, "")
+
+
+def visible_text(wikitext: Column, every_entity: bool = False) -> Column:
+    """What a reader sees of wiki text; ``every_entity`` replaces all entities instead of the common six."""
+    text = marked_down(wikitext)
+    return unescape(text) if every_entity else unescape_basic(text)
 
 
 def math_of(wikitext: Column) -> Column:
     """The contents of all math elements, in order."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(wikitext, r"(?s)<!--.*?-->", ""), F.lit(r"(?s)<math\b[^>]*>(.*?)</math>"), F.lit(1)), unescape_basic)
+    return F.transform(F.regexp_extract_all(F.regexp_replace(wikitext, r"(?s)<!--.*?-->", ""), F.lit(r"(?si)<math\b[^>]*>(.*?)</math>"), F.lit(1)), unescape_basic)
+
+
+#: Fixed value: a command with or without one braced letter, an escaped sign, or one other sign.
+LATEX_TOKEN = r"\\([A-Za-z]+)(?:\s*\{\s*([A-Za-z0-9])\s*\})?|\\(.)|(\S)"
 
 
 def latex_tokens(formula: Column) -> Column:
-    """Commands with a letter name or one other sign, and single non-space characters, in order."""
-    return F.regexp_extract_all(formula, F.lit(r"(\\[A-Za-z]+|\\.|[^\s\\])"), F.lit(1))
+    """Tokens ``(name, argument, escaped, sign)`` of a formula in order, empty where a part is absent."""
+    part = lambda i: F.regexp_extract_all(formula, F.lit(LATEX_TOKEN), F.lit(i))
+    return F.arrays_zip(part(1).alias("name"), part(2).alias("argument"), part(3).alias("escaped"), part(4).alias("sign"))
 
 
 def pseudo_writer(epoch_ms: Column) -> Column:
