@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +49,39 @@ def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
     return F.transform(points, lambda p: p["x"].cast("float")), F.transform(points, lambda p: p["y"].cast("float")), F.transform(clean, F.size)
 
 
-def _moving(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without points that repeat the one before; they carry no direction."""
-    moved = np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]
-    return x[moved], y[moved]
+def _moving(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without points that repeat the one before in their drawing; they carry no direction."""
+    moved = np.ones(len(x), bool)
+    moved[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    begin = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
+    moved[begin[counts > 0]] = True
+    total = np.r_[0, np.cumsum(moved)]
+    return x[moved], y[moved], total[begin + counts] - total[begin]
+
+
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The indices of many ranges, one after another."""
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - np.r_[0, ends[:-1]], lens)
+
+
+def _reversed_strokes(lens: np.ndarray, strokes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of points with each drawing's strokes in reverse order, and which drawings they are: those with several."""
+    of = np.repeat(np.arange(len(strokes)), strokes)
+    first = np.r_[0, np.cumsum(strokes)[:-1]]
+    back = (2 * first + strokes - 1)[of] - np.arange(len(lens))
+    back = back[strokes[of] > 1]
+    starts = np.r_[0, np.cumsum(lens)[:-1]]
+    return _ranges(starts[back], lens[back]), np.flatnonzero(strokes > 1)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a column of lists without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _batch(columns: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -111,32 +141,26 @@ def _hash(bins: np.ndarray) -> np.ndarray:
     return h
 
 
-def seeds_of(pdf: pd.DataFrame, probing: bool) -> pd.DataFrame:
-    """Winnowed seeds of drawings ``(rep, xs, ys, lens)``.
+def seeds_of(rep: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray, lens: np.ndarray, strokes: np.ndarray, probing: bool) -> pd.DataFrame:
+    """Winnowed seeds of drawings: all points one after another, ``counts`` of them for each drawing; all strokes' lengths
+    ``lens``, ``strokes`` of them for each drawing. Every drawing has a point.
 
     Training rows give each kept window's hash. Probing (evaluation) rows are also read with their strokes in reverse
     order, and also give the hashes of windows of which one value, close to the edge of its bin, lies in the next bin.
     Drawings with at most K points in all give one hash of their whole shape.
     """
     out: list[pd.DataFrame] = []
+    given = (rep, x, y, counts)
     for order in (0, 1) if probing else (0,):
-        xs, ys, reps, counts = [], [], [], []
-        for rep, x, y, lens in zip(pdf["rep"], pdf["xs"], pdf["ys"], pdf["lens"]):
-            if order and len(lens) < 2:
-                continue
-            x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
-            if order:
-                cuts = np.cumsum(lens)[:-1]
-                x, y = np.concatenate(np.split(x, cuts)[::-1]), np.concatenate(np.split(y, cuts)[::-1])
-            if len(x):
-                x, y = _moving(x, y)
-                xs.append(x)
-                ys.append(y)
-                reps.append(rep)
-                counts.append(len(x))
-        if not reps:
+        if order:
+            points, which = _reversed_strokes(lens, strokes)
+            reps, counts = given[0][which], given[3][which]
+            x, y = given[1][points], given[2][points]
+        else:
+            reps, x, y, counts = given
+        if not len(reps):
             continue
-        x, y, reps, counts = np.concatenate(xs), np.concatenate(ys), np.asarray(reps, np.int64), np.asarray(counts)
+        x, y, counts = _moving(x, y, counts)
         row = np.repeat(np.arange(len(reps)), counts)
         begin = np.r_[0, np.cumsum(counts)[:-1]]
         x0, y0 = np.minimum.reduceat(x, begin), np.minimum.reduceat(y, begin)
@@ -251,43 +275,54 @@ def covered(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, start:
     return of_a, of_b
 
 
-def _pad(values, size: int) -> np.ndarray:
-    out = np.zeros((len(values), size))
-    for i, v in enumerate(values):
-        out[i, : len(v)] = v
-    return out
+class _Inks:
+    """One side's points of a batch of pairs, without repeated ones."""
+
+    def __init__(self, batch: pa.RecordBatch, side: str):
+        x, counts = _flat(batch.column(f"xs_{side}"))
+        self.x, self.y, self.counts = _moving(x.astype(float), _flat(batch.column(f"ys_{side}"))[0].astype(float), counts)
+        self.begin = np.r_[0, np.cumsum(self.counts)[:-1]].astype(np.int64)
 
+    def padded(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.counts[rows]
+        at = _ranges(self.begin[rows], n)
+        out = np.zeros((len(rows), max(int(n.max()), 1)), complex)
+        out[np.repeat(np.arange(len(rows)), n), _ranges(np.zeros(len(rows), np.int64), n)] = self.x[at] + 1j * self.y[at]
+        return out, n
 
-def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Align candidate pairs ``(rep_a, rep_b, at_a, at_b, turned, xs_a.., seeds)`` and report their coverage."""
+
+def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Align candidate pairs ``(rep_a, rep_b, seeds, at_a, at_b, turned, xs_a, ys_a, xs_b, ys_b)``; report their coverage."""
     for whole in batches:
-        for side in ("a", "b"):
-            kept = [_moving(np.asarray(x, np.float64), np.asarray(y, np.float64)) for x, y in zip(whole[f"xs_{side}"], whole[f"ys_{side}"])]
-            whole = whole.assign(**{f"xs_{side}": [k[0] for k in kept], f"ys_{side}": [k[1] for k in kept]})
-        ends = np.maximum(whole["xs_a"].map(len), whole["xs_b"].map(len)).to_numpy()
-        order = np.argsort(ends, kind="stable")
+        if not whole.num_rows:
+            continue
+        col = {c: whole.column(c).to_numpy(zero_copy_only=False) for c in ("rep_a", "rep_b", "seeds", "at_a", "at_b", "turned")}
+        side_a, side_b = _Inks(whole, "a"), _Inks(whole, "b")
+        longest = np.maximum(side_a.counts, side_b.counts)
+        order = np.argsort(longest, kind="stable")
         i = 0
         while i < len(order):  # pairs of like length share a padded block of bounded size
-            j = min(len(order), i + max(1, min(2000, int(4e6 / max(1, int(ends[order[min(len(order) - 1, i + 2000)]]) ** 2)))))
-            pdf = whole.iloc[order[i:j]]
+            j = min(len(order), i + 1000)
+            while j > i + 1 and (j - i) * longest[order[j - 1]] ** 2 > 4e6:
+                j = i + (j - i) // 2
+            rows = order[i:j]
             i = j
-            na, nb = pdf["xs_a"].map(len).to_numpy(), pdf["xs_b"].map(len).to_numpy()
-            a = _pad(pdf["xs_a"], na.max()) + 1j * _pad(pdf["ys_a"], na.max())
-            b = _pad(pdf["xs_b"], nb.max()) + 1j * _pad(pdf["ys_b"], nb.max())
-            k = np.minimum(K + 1, np.minimum(na, nb)).max()
+            (a, na), (b, nb) = side_a.padded(rows), side_b.padded(rows)
+            k = int(np.minimum(K + 1, np.minimum(na, nb)).max())
             step = np.arange(k)
-            ia = np.clip(pdf["at_a"].to_numpy()[:, None] + step, 0, na[:, None] - 1)
-            at_b = pdf["at_b"].to_numpy()
-            ib = np.where(pdf["turned"].to_numpy(bool)[:, None], at_b[:, None] + (k - 1) - step, at_b[:, None] + step)
+            at_a, at_b = col["at_a"][rows].astype(np.int64), col["at_b"][rows].astype(np.int64)
+            ia = np.clip(at_a[:, None] + step, 0, na[:, None] - 1)
+            ib = np.where(col["turned"][rows].astype(bool)[:, None], at_b[:, None] + (k - 1) - step, at_b[:, None] + step)
             ib = np.clip(ib, 0, nb[:, None] - 1)
             wa, wb = np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1)
             am, bm = wa.mean(1), wb.mean(1)
             power = (np.abs(wb - bm[:, None]) ** 2).sum(1)
             scale = (np.conj(wb - bm[:, None]) * (wa - am[:, None])).sum(1).real / np.maximum(power, 1e-9)
             scale = np.where((power > 1e-6) & (scale > 0), scale, 1.0)
-            size = np.array([np.hypot(np.ptp(x), np.ptp(y)) for x, y in zip(pdf["xs_a"], pdf["ys_a"])])
-            of_a, of_b = covered(a, b, na, nb, (scale, am - scale * bm, size))
-            yield pd.DataFrame({"rep_a": pdf["rep_a"].to_numpy(), "rep_b": pdf["rep_b"].to_numpy(), "covered_a": of_a, "covered_b": of_b, "seeds": pdf["seeds"].to_numpy()})
+            inside = np.arange(a.shape[1])[None] < na[:, None]
+            spread = [np.where(inside, v, -np.inf).max(1) - np.where(inside, v, np.inf).min(1) for v in (a.real, a.imag)]
+            of_a, of_b = covered(a, b, na, nb, (scale, am - scale * bm, np.hypot(*spread)))
+            yield _batch({"rep_a": (col["rep_a"][rows], pa.int64()), "rep_b": (col["rep_b"][rows], pa.int64()), "covered_a": (of_a, pa.float64()), "covered_b": (of_b, pa.float64()), "seeds": (col["seeds"][rows], pa.int64())})
 
 
 def cross_split_pairs(rows: DataFrame) -> DataFrame:
@@ -319,17 +354,23 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     shapes = Stored(inked.join(member_of.where("row_id = rep").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "xs", "ys", "lens")).df
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    kinds = {"rep": pa.int64(), "hash": pa.int64(), "turned": pa.bool_(), "at": pa.int32(), "of": pa.int32(), **dict.fromkeys(PLACE, pa.float32())}
+
     def seeded(probing: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for i in range(0, len(pdf), 5000):
-                    yield seeds_of(pdf.iloc[i : i + 5000], probing)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 5000):
+                    part = batch.slice(i, 5000)
+                    x, counts = _flat(part.column("xs"))
+                    lens, strokes = _flat(part.column("lens"))
+                    found = seeds_of(part.column("rep").to_numpy(), x.astype(float), _flat(part.column("ys"))[0].astype(float), counts, lens.astype(np.int64), strokes, probing)
+                    yield _batch({c: (found[c].to_numpy(), t) for c, t in kinds.items()})
 
         return run
 
     cols = ["rep", "xs", "ys", "lens"]
-    told = Stored(shapes.where("train").select(*cols).repartition(tasks).mapInPandas(seeded(False), SEEDS)).df
-    asked = Stored(shapes.where("NOT train").select(*cols).repartition(tasks).mapInPandas(seeded(True), SEEDS)).df
+    told = Stored(shapes.where("train").select(*cols).repartition(tasks).mapInArrow(seeded(False), SEEDS)).df
+    asked = Stored(shapes.where("NOT train").select(*cols).repartition(tasks).mapInArrow(seeded(True), SEEDS)).df
     l, r = told.alias("l"), asked.alias("r")
     # Drawings differ by a few points at most when 85 % of both agree.
     like = (F.col("l.of") >= COVERED * F.col("r.of") - 1) & (F.col("r.of") >= COVERED * F.col("l.of") - 1)
@@ -356,7 +397,7 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
         return F.when(F.col("order") > 0, turned_over).otherwise(F.col(c)).alias(c)
 
     full = lookup(pairs, ink_b, "rep_b", "inner").join(ink_a, "rep_a").select("rep_a", "rep_b", "seeds", "at_a", "at_b", "turned", "xs_a", "ys_a", in_order("xs_b"), in_order("ys_b"))
-    checked = full.repartition(tasks).mapInPandas(align, "rep_a bigint, rep_b bigint, covered_a double, covered_b double, seeds bigint")
+    checked = full.repartition(tasks).mapInArrow(align, "rep_a bigint, rep_b bigint, covered_a double, covered_b double, seeds bigint")
     near = checked.where((F.col("covered_a") >= COVERED) & (F.col("covered_b") >= COVERED)).select("rep_a", "rep_b", F.lit(2).alias("k"), F.least("covered_a", "covered_b").alias("coverage"))
 
     linked = Stored(same_ink.unionByName(near)).df
