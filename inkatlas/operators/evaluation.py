@@ -51,3 +51,14 @@ def sliced(hits: DataFrame, slices: list[str]) -> DataFrame:
 def best_setting(grid: DataFrame, setting: str, *measures: str) -> DataFrame:
     """The setting with the largest measures, compared one after another; the smallest setting wins a tie."""
     return grid.agg(F.min_by(setting, F.struct(*[(-F.col(m)).alias(f"m{i}") for i, m in enumerate(measures)], F.col(setting).alias("s"))).alias(setting))
+
+
+def smallest_within(options: DataFrame, size: str, measure: str, tolerance: float) -> DataFrame:
+    """The smallest option whose measure is within ``tolerance`` of the largest option's; one row, none for no options."""
+    full = options.agg(F.max_by(measure, size).alias("_full"))  # one row
+    return options.join(F.broadcast(full), F.col(measure) >= F.col("_full") - tolerance).drop("_full").orderBy(size).limit(1)
+
+
+def hash_sample(rows: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
+    """n rows in the order of a hash of their key: a sample that does not change with partitions or other rows' order."""
+    return rows.orderBy(F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256), key).limit(n)

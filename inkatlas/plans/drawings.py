@@ -11,6 +11,7 @@ from inkatlas.functions import text as T
 from inkatlas.functions.names import read_split
 from inkatlas.operators import datasets as D
 from inkatlas.operators import lookups as L
+from inkatlas.operators.augment import synthesize
 from inkatlas.operators.raster import image_features, rasterize
 from inkatlas.operators.skew import value_frequencies, weighted_percentiles
 from inkatlas.sources.tables import table
@@ -136,6 +137,12 @@ def drawing_gradients(spark: SparkSession, directory: str) -> DataFrame:
     return features.select("row_id", F.size("vector").alias("dims"), F.round(F.array_max("vector"), 6).alias("largest"))
 
 
+def synthetic_drawings(spark: SparkSession, directory: str) -> DataFrame:
+    """Two hand-drawn-looking variants of every drawing: points and box."""
+    made = synthesize(_drawings(spark, directory), "row_id", "strokes", 2)
+    return made.select(F.col("id").alias("row_id"), "variant", F.size(F.flatten("strokes")).alias("points"), D.bounds(F.col("strokes")).alias("b")).select("row_id", "variant", "points", "b.*")
+
+
 _FRACTION = "CAST(CAST('0x' || substr(sha256({}), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0"
 _HELD = f"coalesce({_FRACTION.format(chr(39) + 'test-split:' + chr(39) + ' || dataset || ' + chr(39) + ':' + chr(39) + ' || writer')} < 0.2, false)"
 _UNSEEN = f"coalesce({_FRACTION.format(chr(39) + 'zero-shot:' + chr(39) + ' || upper(to_hex(code_point))')} < 0.1, false)"
@@ -170,5 +177,5 @@ SELECT dataset, v[1 + CAST(floor(len(v) * 0.5) AS INTEGER)] AS median, v[1 + CAS
 }
 QUERIES = {f.__name__: f for f in (
     stable_split, training_mask, split_names, writer_days, dataset_summary, samples_by_block, ink_bounds, fitted_points, ink_lengths, arc_length, lateness_percentiles, first_n_per_key,
-    first_row_per_key, label_histogram, json_strokes, drawing_links, drawing_images, drawing_gradients,
+    first_row_per_key, label_histogram, json_strokes, drawing_links, drawing_images, drawing_gradients, synthetic_drawings,
 )}

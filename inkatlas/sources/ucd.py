@@ -115,3 +115,19 @@ def database(spark: SparkSession, directory: str) -> DataFrame:
         flagged = code_points_with(spark, at(name), prop).withColumn(column, F.lit(True))
         rows = rows.join(F.broadcast(flagged), "code_point", "left").withColumn(column, F.coalesce(column, F.lit(False)))
     return rows.join(extensions, "code_point", "left").withColumn("script_extensions", F.coalesce("scripts", F.array("script"))).drop("scripts")
+
+
+def command_table(spark: SparkSession, path: str) -> DataFrame:
+    """``(command, code_point, preferred)`` of an XML list of characters with their names in formulas.
+
+    Elements ``latex``, ``varlatex``, ``mathlatex``, ``AMS`` and ``IEEE`` name a character; ``preferred`` marks a
+    ``mathlatex`` of the set ``unicode-math``. Entries of several code points and empty names are skipped; white space
+    within a command is dropped.
+    """
+    named = "array<struct<_VALUE: string, _set: string>>"
+    schema = f"_id string, latex {named}, varlatex {named}, mathlatex {named}, AMS {named}, IEEE {named}"
+    rows = spark.read.format("xml").option("rowTag", "character").schema(schema).load(path).where(F.col("_id").rlike("^U[0-9A-Fa-f]+$"))
+    entry = lambda c: F.transform(F.coalesce(c, F.array().cast(named)), lambda e: F.struct(e["_VALUE"].alias("command"), (F.lit(c == "mathlatex") & F.coalesce(e["_set"] == "unicode-math", F.lit(False))).alias("preferred")))
+    every = F.concat(*[entry(c) for c in ("latex", "varlatex", "mathlatex", "AMS", "IEEE")])
+    flat = rows.select(_hex(F.substring("_id", 2, 6)).alias("code_point"), F.explode(every).alias("e"))
+    return flat.select(F.regexp_replace("e.command", r"\s+", "").alias("command"), "code_point", "e.preferred").where("command <> ''").groupBy("command", "code_point").agg(F.max("preferred").alias("preferred"))
