@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkatlas.operators.datasets import flat_ink
+from inkatlas.operators.parallel import spread
 
 #: Sizes of the changes, in units of the drawing's longer side (angles in degrees, scales as logarithms).
 SPACING = 0.012
@@ -134,5 +135,5 @@ def synthesize(drawings: DataFrame, id_col: str, strokes_col: str, variants: int
 
     flat = drawings.select(F.col(id_col).cast("bigint").alias("id"), *flat_ink(F.col(strokes_col))).where("size(xs) > 0")
     each = flat.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
-    made = each.mapInPandas(run, "id bigint, variant int, json string")
+    made = spread(each).mapInPandas(run, "id bigint, variant int, json string")
     return made.select("id", "variant", F.from_json("json", "array<array<struct<x: double, y: double>>>").alias("strokes"))
