@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_WRITTEN: dict[str, list[Stored]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,7 @@ class Stored:
         self.path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         (df if partitions is None else df.coalesce(partitions)).write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def drop(self) -> None:
         spark = self.df.sparkSession
@@ -48,3 +50,9 @@ class Stored:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     return Stored(df).df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table this session has written to the shared folder; results not yet consumed can no longer be read."""
+    for table in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        table.drop()
