@@ -351,7 +351,8 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     a, b = reps.where("train").select("ink", F.col("rep").alias("rep_a")), reps.where("NOT train").select("ink", F.col("rep").alias("rep_b"))
     same_ink = a.join(b, "ink").select("rep_a", "rep_b", F.lit(1).alias("k"), F.lit(1.0).alias("coverage"))
 
-    shapes = Stored(inked.join(member_of.where("row_id = rep").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "xs", "ys", "lens")).df
+    stored = [Stored(inked.join(member_of.where("row_id = rep").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "xs", "ys", "lens"))]
+    shapes = stored[0].df
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     kinds = {"rep": pa.int64(), "hash": pa.int64(), "turned": pa.bool_(), "at": pa.int32(), "of": pa.int32(), **dict.fromkeys(PLACE, pa.float32())}
@@ -369,9 +370,9 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
         return run
 
     cols = ["rep", "xs", "ys", "lens"]
-    told = Stored(shapes.where("train").select(*cols).repartition(tasks).mapInArrow(seeded(False), SEEDS)).df
-    asked = Stored(shapes.where("NOT train").select(*cols).repartition(tasks).mapInArrow(seeded(True), SEEDS)).df
-    l, r = told.alias("l"), asked.alias("r")
+    told = Stored(shapes.where("train").select(*cols).repartition(tasks).mapInArrow(seeded(False), SEEDS))
+    asked = Stored(shapes.where("NOT train").select(*cols).repartition(tasks).mapInArrow(seeded(True), SEEDS))
+    l, r = told.df.alias("l"), asked.df.alias("r")
     # Drawings differ by a few points at most when 85 % of both agree.
     like = (F.col("l.of") >= COVERED * F.col("r.of") - 1) & (F.col("r.of") >= COVERED * F.col("l.of") - 1)
     slack = F.lit(SLACK) + F.lit(STEP) / F.least("l.of", "r.of")
@@ -386,7 +387,10 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     line = F.when(F.col("turned"), F.col("at_a") + F.col("at_b")).otherwise(F.col("at_a") - F.col("at_b"))
     chains = meets.groupBy("rep_a", "rep_b", "order", "turned", line.alias("line")).agg(F.count(F.lit(1)).alias("seeds"), F.min(F.struct("at_a", "at_b")).alias("at"))
     best = chains.groupBy("rep_a", "rep_b").agg(F.max(F.struct("seeds", "at", "turned", "order")).alias("c"))
-    pairs = Stored(best.select("rep_a", "rep_b", F.col("c.seeds").alias("seeds"), F.col("c.at.at_a").alias("at_a"), F.col("c.at.at_b").alias("at_b"), F.col("c.turned").alias("turned"), F.col("c.order").alias("order")).join(same_ink.select("rep_a", "rep_b"), ["rep_a", "rep_b"], "left_anti")).df
+    stored.append(Stored(best.select("rep_a", "rep_b", F.col("c.seeds").alias("seeds"), F.col("c.at.at_a").alias("at_a"), F.col("c.at.at_b").alias("at_b"), F.col("c.turned").alias("turned"), F.col("c.order").alias("order")).join(same_ink.select("rep_a", "rep_b"), ["rep_a", "rep_b"], "left_anti")))
+    told.drop()
+    asked.drop()
+    pairs = stored[1].df
     ink_a = shapes.where("train").select(F.col("rep").alias("rep_a"), F.col("xs").alias("xs_a"), F.col("ys").alias("ys_a"))
     ink_b = shapes.where("NOT train").select(F.col("rep").alias("rep_b"), F.col("xs").alias("xs_b"), F.col("ys").alias("ys_b"), F.col("lens").alias("lens_b"))
     # Strokes read in reverse order are put in that order.
@@ -401,6 +405,8 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     near = checked.where((F.col("covered_a") >= COVERED) & (F.col("covered_b") >= COVERED)).select("rep_a", "rep_b", F.lit(2).alias("k"), F.least("covered_a", "covered_b").alias("coverage"))
 
     linked = Stored(same_ink.unionByName(near)).df
+    for table in stored:
+        table.drop()
     of_a = member_of.where("train").select(F.col("rep").alias("rep_a"), F.col("row_id").alias("train_row"))
     of_b = member_of.where("NOT train").select(F.col("rep").alias("rep_b"), "row_id")
     by_ink = linked.join(of_b, "rep_b").join(of_a, "rep_a").select("train_row", "row_id", "k", "coverage")
