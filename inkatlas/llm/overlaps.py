@@ -42,11 +42,21 @@ DRIFT, JITTER = 0.01, 3.0
 
 
 def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
-    """``xs``, ``ys`` and the stroke lengths of ink; null or non-finite points are left out."""
-    ok = lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull() & (F.abs(p["x"]) < 1e9) & (F.abs(p["y"]) < 1e9)
-    clean = F.transform(F.filter(strokes, lambda s: s.isNotNull()), lambda s: F.filter(s, ok))
+    """``xs``, ``ys`` and the stroke lengths of ink, as stored: points that are null or no numbers are left out later."""
+    clean = F.array_compact(strokes)
     points = F.flatten(clean)
-    return F.transform(points, lambda p: p["x"].cast("float")), F.transform(points, lambda p: p["y"].cast("float")), F.transform(clean, F.size)
+    return points["x"], points["y"], F.transform(clean, lambda k: F.size(k))
+
+
+def _sound(x: np.ndarray, y: np.ndarray, *lens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Without points that are no finite numbers below 1e9; every array of lengths tells the parts of all points."""
+    with np.errstate(invalid="ignore"):
+        ok = (np.abs(x) < 1e9) & (np.abs(y) < 1e9)
+    if ok.all():
+        return x, y, *lens
+    total = np.r_[0, np.cumsum(ok)]
+    ends = [np.r_[0, np.cumsum(n)].astype(np.int64) for n in lens]
+    return x[ok], y[ok], *[np.diff(total[e]) for e in ends]
 
 
 def _moving(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +290,7 @@ class _Inks:
 
     def __init__(self, batch: pa.RecordBatch, side: str):
         x, counts = _flat(batch.column(f"xs_{side}"))
-        self.x, self.y, self.counts = _moving(x.astype(float), _flat(batch.column(f"ys_{side}"))[0].astype(float), counts)
+        self.x, self.y, self.counts = _moving(*_sound(x.astype(float), _flat(batch.column(f"ys_{side}"))[0].astype(float), counts))
         self.begin = np.r_[0, np.cumsum(self.counts)[:-1]].astype(np.int64)
 
     def padded(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +317,7 @@ def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j = i + (j - i) // 2
             rows = order[i:j]
             i = j
-            (a, na), (b, nb) = side_a.padded(rows), side_b.padded(rows)
+            (a, na), (b, nb) = side_a.padded(rows), side_b.padded(rows)  # seeds only come from drawings with sound points
             k = int(np.minimum(K + 1, np.minimum(na, nb)).max())
             step = np.arange(k)
             at_a, at_b = col["at_a"][rows].astype(np.int64), col["at_b"][rows].astype(np.int64)
@@ -342,7 +352,7 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
 
     by_record = train.where("record IS NOT NULL").select(F.col("row_id").alias("train_row"), "record").join(held.where("record IS NOT NULL").select("row_id", "record"), "record").select("train_row", "row_id", F.lit(0).alias("k"), F.lit(1.0).alias("coverage"))
 
-    inked = base.where(F.size("xs") > 0)
+    inked = base.where(F.exists(F.arrays_zip("xs", "ys"), lambda p: (F.abs(p["xs"]) < 1e9) & (F.abs(p["ys"]) < 1e9)))
     keyed = Stored(inked.select("row_id", "train", F.concat_ws(":", F.xxhash64("xs", "ys"), F.xxhash64("ys", "xs"), F.size("xs")).alias("ink"))).df
     # Exact copies of ink collapse to one representative on each side.
     reps = keyed.groupBy("ink", "train").agg(F.min("row_id").alias("rep"))
@@ -364,7 +374,9 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
                     part = batch.slice(i, 5000)
                     x, counts = _flat(part.column("xs"))
                     lens, strokes = _flat(part.column("lens"))
-                    found = seeds_of(part.column("rep").to_numpy(), x.astype(float), _flat(part.column("ys"))[0].astype(float), counts, lens.astype(np.int64), strokes, probing)
+                    x, y, counts, lens = _sound(x.astype(float), _flat(part.column("ys"))[0].astype(float), counts, lens.astype(np.int64))
+                    some = counts > 0
+                    found = seeds_of(part.column("rep").to_numpy()[some], x, y, counts[some], lens[np.repeat(some, strokes)], strokes[some], probing)
                     yield _batch({c: (found[c].to_numpy(), t) for c, t in kinds.items()})
 
         return run

@@ -49,7 +49,7 @@ CHANGES = {
 
 
 def row(i, split, s, record=None):
-    return (i, split, record, None if s is None else [[{"x": float(x), "y": float(y)} for x, y in k] for k in s])
+    return (i, split, record, None if s is None else [k and [p and {"x": float(p[0]), "y": float(p[1])} for p in k] for k in s])
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +71,9 @@ def found(spark):
     copies = ink(rng)
     rows += [row(60000 + i, "train" if i % 2 else "test", copies) for i in range(30)]
     want |= {(a, b) for a in range(60001, 60030, 2) for b in range(60000, 60030, 2)}
+    dirty = ink(rng)
+    rows += [row(70000, "train", dirty), row(70001, "test", [[None, *dirty[0]], None, [*dirty[1], (float("nan"), 5.0)], *dirty[2:]]), row(70002, "test", [[None]]), row(70003, "train", [[None]])]
+    want.add((70000, 70001))
     df = spark.createDataFrame(rows, SCHEMA).withColumn("rep", F.lit("clash"))
     got = {(r["train_row"], r["row_id"]): (r["kind"], r["coverage"]) for r in O.cross_split_pairs(df.select("row_id", "split", "record", "strokes", "rep")).collect()}
     return got, want, kinds
