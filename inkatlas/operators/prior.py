@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkatlas.functions.text import characters, code_point_of, is_space
+from inkatlas.functions.text import code_point_of, is_space
+from inkatlas.operators.parallel import spread
 
 
 def character_counts(documents: DataFrame, language: str, text: str) -> DataFrame:
@@ -13,8 +14,9 @@ def character_counts(documents: DataFrame, language: str, text: str) -> DataFram
 
     White space is dropped after counting, on distinct characters. Rows with a null language are left out.
     """
-    counted = documents.where(F.col(language).isNotNull()).select(F.col(language).alias("language"), F.explode(characters(F.col(text))).alias("ch")).groupBy("language", "ch").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(~is_space(F.col("ch"))).select("language", code_point_of(F.col("ch")).alias("code_point"), "n")
+    texts = spread(documents.where(F.col(language).isNotNull()).select(F.col(language).alias("language"), F.col(text).alias("text")))
+    counted = texts.select("language", F.explode(F.split("text", "")).alias("ch")).groupBy("language", "ch").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("ch") != "").where(~is_space(F.col("ch"))).select("language", code_point_of(F.col("ch")).alias("code_point"), "n")
 
 
 def log_prior(counts: DataFrame, charset: DataFrame, smoothing: float = 0.5) -> DataFrame:
