@@ -3,7 +3,8 @@
 The clean words of the corpus are garbled along every chain of encodings; the documents' words meet this table in a
 hash join, so a word is suspect if it is what some known word becomes. A suspect passage is then decoded backwards as a
 whole: it is repaired only if every one of its characters beyond ASCII takes part, which a sound sentence that quotes a
-garbled character does not. What was lost on the way is taken from the known word.
+garbled character does not. What was lost on the way is taken from the known word. Where control characters were stripped
+or no-break spaces turned into blanks, the passage is decoded word by word and known words must confirm it.
 """
 
 from __future__ import annotations
@@ -68,6 +69,12 @@ def _make_table(name: str) -> tuple[dict[int, str], dict[str, int], frozenset[in
     return forth, {c: b for b, c in forth.items()}, frozenset(undefined)
 
 
+def _bare(name: str) -> frozenset[int]:
+    """The bytes a cleaning may take away: undefined ones and those read as control characters."""
+    forth, _, undefined = _table(name)
+    return _kept("bare", name, lambda: undefined | {b for b, c in forth.items() if c < "\xa0"})
+
+
 def _write(text: str, name: str) -> bytes | None:
     """Bytes of a text; in an encoding of one byte, a character it lacks becomes a question mark if letters are left."""
     if name == "utf-8":
@@ -94,11 +101,38 @@ def garble(word: str, chain: tuple[str, ...], mode: str = "pass") -> str:
     return word
 
 
+def strip_forms(word: str, chain: tuple[str, ...]) -> Iterator[str]:
+    """What a cleaning leaves of a word misread as UTF-8: control characters dropped or marked, no-break space a blank."""
+    write, read = chain[-2:]
+    start = garble(word, chain[:-2]) if len(chain) > 2 else word
+    data = _write(start, write)
+    bare = _bare(read)
+    blank = {b for b, c in _table(read)[0].items() if c == "\xa0"}
+    has_bare, has_blank = not bare.isdisjoint(data), not blank.isdisjoint(data)
+    if not (has_bare or has_blank):
+        return
+    forth = _table(read)[0]
+    text = data.decode("latin-1")
+    for swap in ([None, "", LOST] if has_bare else [None]):
+        table = forth if swap is None else forth | dict.fromkeys(bare, swap)
+        if swap is not None:
+            yield text.translate(table)
+        if has_blank:
+            yield text.translate(table | dict.fromkeys(blank, " "))
+
+
 _SEQUENCE = re.compile(rb"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
-def _sequences(data: bytes, gaps: bool) -> tuple[str, int] | None:
-    """Strict UTF-8, or with ``gaps`` also sequences that lack one byte or hold a lost one (0xff); (text, lost ones)."""
+#: First bytes of the characters that Latin, Greek and Cyrillic text and its punctuation are made of.
+_LEADS = frozenset(range(0xC2, 0xC6)) | {0xCE, 0xCF, 0xD0, 0xD1, 0xE2}
+
+
+def _sequences(data: bytes, gaps: bool, loose: bool = False) -> tuple[str, int] | None:
+    """Strict UTF-8, or with ``gaps`` also sequences that lack one byte or hold a lost one (0xff); (text, lost ones).
+
+    With ``loose`` a sequence may lack any number of tail bytes; one that lacks all must begin with a common first byte.
+    """
     try:
         return data.decode("utf-8"), 0
     except UnicodeDecodeError:
@@ -120,7 +154,8 @@ def _sequences(data: bytes, gaps: bool) -> tuple[str, int] | None:
         while j < len(data) and j - i <= need and (0x80 <= data[j] <= 0xBF or data[j] == 0xFF):
             j += 1
         tail = data[i + 1 : j]
-        if not need or not (len(tail) == need or len(tail) == need - 1 and 0xFF not in tail):
+        short = loose and (len(tail) > 0 or lead in _LEADS)
+        if not need or not (len(tail) == need or short or len(tail) == need - 1 and 0xFF not in tail):
             return None
         out.append(LOST)
         lost += 1
@@ -128,8 +163,11 @@ def _sequences(data: bytes, gaps: bool) -> tuple[str, int] | None:
     return "".join(out), lost
 
 
-def ungarble(text: str, chain: tuple[str, ...]) -> tuple[str, int] | None:
-    """The text before the chain, with the number of characters lost on the way; None if it cannot have come from it."""
+def ungarble(text: str, chain: tuple[str, ...], loose: bool = False) -> tuple[str, int] | None:
+    """The text before the chain, with the number of characters lost on the way; None if it cannot have come from it.
+
+    ``loose`` admits characters of which any number of tail bytes is gone; known words must then confirm the result.
+    """
     lost = 0
     for write, read in zip(chain[-2::-2], chain[::-2]):
         if read == "utf-8":
@@ -141,12 +179,12 @@ def ungarble(text: str, chain: tuple[str, ...]) -> tuple[str, int] | None:
                 data.append(ord(c))
             elif c in back:
                 data.append(back[c])
-            elif c == LOST and (undefined or lost):
+            elif c == LOST and (undefined or lost or loose):
                 data.append(0xFF)
             else:
                 return None
         if write == "utf-8":
-            got = _sequences(bytes(data), bool(undefined) or lost > 0)
+            got = _sequences(bytes(data), bool(undefined) or lost > 0 or loose, loose)
             if got is None:
                 return None
             text, more = got
@@ -165,14 +203,21 @@ def _by_utf8(chain: tuple[str, ...]) -> bool:
 
 
 def looks_garbled(word: str) -> bool:
-    """True if the word cannot be a clean word: it holds lost or control characters or decodes as misread UTF-8."""
+    """True if the word cannot be a clean word: it holds lost or control characters or decodes as misread UTF-8 to
+    letters of Europe or symbols (’é reads as an Armenian letter written in mac_roman and is sound)."""
     if LOST in word or any("\x7f" < c < "\xa0" for c in word):
         return True
-    return any(ungarble(word, ("utf-8", s)) is not None for s in MISREAD if sum(c > "\x7f" for c in word) > 1)
+    if sum(c > "\x7f" for c in word) < 2:
+        return False
+    read = [ungarble(word, ("utf-8", s)) for s in MISREAD]
+    return any(all(c < "\u0530" or "\u1e00" <= c < "\u3000" or c == LOST for c in r[0]) for r in read if r is not None)
 
 
 def forms_of(word: str) -> Iterator[tuple[str, int]]:
-    """``(garbled form, chain number)`` of a clean word. Letters of one byte need a word of three letters to be told."""
+    """``(garbled form, chain number)`` of a clean word. Letters of one byte need a word of three letters to be told.
+
+    A form in which a no-break space became a blank holds that blank.
+    """
     letters = sum(c.isalpha() for c in word)
     ours = [c for c in word if c > "\x7f"]
     for number, chain in enumerate(chains_kept()):
@@ -190,6 +235,11 @@ def forms_of(word: str) -> Iterator[tuple[str, int]]:
             if form != word and form not in seen and any(c > "\x7f" for c in form):
                 seen.add(form)
                 yield form, number
+        if _by_utf8(chain):
+            for form in strip_forms(word, chain):
+                if form != word and form not in seen and any(c > "\x7f" for c in form):
+                    seen.add(form)
+                    yield form, number
 
 
 def chains_kept() -> tuple[tuple[str, ...], ...]:
@@ -199,12 +249,58 @@ def chains_kept() -> tuple[tuple[str, ...], ...]:
 _PREFIX = 12
 
 
+def _words_first(known: list[tuple[str, str]]) -> dict[str, str]:
+    """Form to original; where a form may be a word or a mark, the word."""
+    return dict(sorted(known, key=lambda k: any(c.isalpha() for c in k[1])))
+
+
+_ALONG = "[A-Za-z\u0080-\U0010ffff]"
+
+
+def _fill(passage: str, chain: tuple[str, ...], known: list[tuple[str, str]]) -> str | None:
+    """A passage some of whose bytes were stripped, word by word; None unless known words confirm it.
+
+    Every word beyond ASCII must be a known form or decode. Those that lost characters and are not known may be no more
+    than a third, and at least one word must tell: known with three letters, or decoded without loss. Where a form may
+    be a word or a mark, it is the mark between two numbers and the word elsewhere.
+    """
+    originals = _words_first(known)
+    marks = {w: o for w, o in known if not any(c.isalpha() for c in o)}
+    spaced = sorted((f for f in originals if " " in f), key=len, reverse=True)
+    # A form that ends in a blank stands before another blank or a mark, not before a word or number.
+    forms = "".join(f"(?<!{_ALONG}){re.escape(f)}(?!{_ALONG}|[0-9])|" for f in spaced)
+    parts = re.split(f"({forms}{WORD})", passage)
+    sure = unsure = 0
+    tells = False
+    for i in range(1, len(parts), 2):
+        part = parts[i]
+        if not any(c > "\x7f" for c in part):
+            continue
+        if part in originals:
+            before, after = parts[i - 1].rstrip(" "), parts[i + 1].lstrip(" ")
+            between = before[-1:].isdigit() and after[:1].isdigit()
+            parts[i] = marks.get(part, originals[part]) if between else originals[part]
+            sure += 1
+            tells = tells or sum(c.isalpha() for c in parts[i]) >= 3
+            continue
+        one = ungarble(part, chain, loose=True)
+        if one is None:
+            return None
+        parts[i] = one[0]
+        if one[1]:
+            unsure += 1
+        else:
+            sure += 1
+            tells = True
+    return "".join(parts) if tells and sure >= 2 * unsure else None
+
+
 def repair_text(text: str, suspects: dict[int, list[tuple[int, list[tuple[str, str]], float]]]) -> tuple[str, list[int], int]:
     """Repair the suspect passages of a text: ``(text, chains used, characters lost for good)``.
 
     ``suspects``: passage number to ``(chain, [(word, original)], weight)``. A passage is decoded by the chain of largest
     weight among those that decode it wholly; a chain of single bytes also needs known originals for at least half of
-    the passage's words beyond ASCII.
+    the passage's words beyond ASCII. If none does, bytes may have been stripped: the chain that loses least is taken.
     """
     pieces = re.split(f"({PASSAGE})", text)
     used, gone = [], 0
@@ -214,14 +310,17 @@ def repair_text(text: str, suspects: dict[int, list[tuple[int, list[tuple[str, s
             continue
         passage = pieces[at]
         words = [w for w in re.findall(WORD, passage) if any(c > "\x7f" for c in w)]
-        for chain_number, known, votes in sorted(options, key=lambda o: (-o[2], o[0])):
+        ordered = sorted(options, key=lambda o: (-o[2], o[0]))
+        for chain_number, known, votes in ordered:
             chain = chains_kept()[chain_number]
-            originals = dict(known)
+            originals = _words_first(known)
             if _by_utf8(chain):
                 got = ungarble(passage, chain)
                 if got is None:
                     continue
                 fixed, lost = got
+                if lost and not any(c > "\x7f" and c != LOST for c in fixed) and not any(sum(c.isalpha() for c in originals.get(w, "")) >= 3 for w in words):
+                    continue  # a quoted sign that could be the rest of anything
                 if lost:
                     swapped = re.sub(WORD, lambda m: originals.get(m.group(), m.group()), passage)
                     parts = re.split(f"({WORD})", swapped)
@@ -248,6 +347,12 @@ def repair_text(text: str, suspects: dict[int, list[tuple[int, list[tuple[str, s
             pieces[at] = fixed
             used.append(chain_number)
             break
+        else:
+            filled = [(f.count(LOST), rank, f) for rank, o in enumerate(ordered) if _by_utf8(chains_kept()[o[0]]) and (f := _fill(passage, chains_kept()[o[0]], o[1])) is not None]
+            if filled:
+                lost, rank, pieces[at] = min(filled)
+                gone += lost
+                used.append(ordered[rank][0])
     return "".join(pieces), used, gone
 
 
@@ -277,24 +382,27 @@ def repair(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 rows = []
                 for word, n, alone in zip(pdf["word"].iloc[i : i + 500], pdf["n"].iloc[i : i + 500], pdf["alone"].iloc[i : i + 500]):
                     if alone or not looks_garbled(word):
-                        rows += [(form, word, chain, n, alone, _by_utf8(chains_kept()[chain])) for form, chain in forms_of(word)]
-                yield pd.DataFrame(rows, columns=["form", "word", "chain", "n_word", "alone", "utf8"])
+                        for form, chain in forms_of(word):
+                            # The blank in a form ends a word of the text; each of its parts finds the form.
+                            parts = {p for p in re.findall(WORD, form) if not p.isascii()} if " " in form else (form,)
+                            rows += [(part, form, word, chain, n, alone, _by_utf8(chains_kept()[chain])) for part in parts]
+                yield pd.DataFrame(rows, columns=["form", "whole", "word", "chain", "n_word", "alone", "utf8"])
 
     clean = counts.select("word", "n", F.lit(False).alias("alone")).unionByName(chars.select("word", "n", F.lit(True).alias("alone")))
-    forms = Stored(clean.repartition(tasks).mapInPandas(table, "form string, word string, chain int, n_word bigint, alone boolean, utf8 boolean")).df
+    forms = Stored(clean.repartition(tasks).mapInPandas(table, "form string, whole string, word string, chain int, n_word bigint, alone boolean, utf8 boolean")).df
     # A form of single bytes is suspect only if its original is the commoner word.
-    whole = counts.withColumnRenamed("word", "form").join(forms.where("NOT alone"), "form").where(F.col("utf8") | (F.col("n_word") > F.col("n"))).select(F.col("form").alias("word"), "chain", F.col("word").alias("original"), "n_word")
+    whole = counts.withColumnRenamed("word", "form").join(forms.where("NOT alone"), "form").where(F.col("utf8") | (F.col("n_word") > F.col("n"))).select(F.col("form").alias("word"), "chain", "whole", F.col("word").alias("original"), "n_word")
     # Words beyond the corpus vocabulary (rare symbols in quotes): the start of the garbled run is a known character's form.
     run = F.regexp_extract("form", r"([\x{80}-\x{10ffff}]{2,})", 1)
     starts = counts.withColumnRenamed("word", "form").select("form", run.alias("run")).where(F.length("run") >= 2)
     starts = starts.select("form", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("run"), F.lit(_PREFIX))), lambda i: F.substring("run", F.lit(1), i))).alias("start"))
-    begun = starts.join(forms.where("alone AND utf8 AND length(form) >= 2").select(F.col("form").alias("start"), "chain"), "start").select(F.col("form").alias("word"), "chain", F.lit(None).cast("string").alias("original"), F.lit(0).cast("bigint").alias("n_word"))
-    per_chain = whole.unionByName(begun).groupBy("word", "chain").agg(F.max(F.struct("n_word", "original")).alias("b"))
-    suspects = Stored(per_chain.groupBy("word").agg(F.collect_list(F.struct("chain", F.col("b.original").alias("original"), F.col("b.n_word").alias("n_word"))).alias("options"))).df  # at most one entry for each chain
+    begun = starts.join(forms.where("alone AND utf8 AND length(form) >= 2 AND form = whole").select(F.col("form").alias("start"), "chain"), "start").select(F.col("form").alias("word"), "chain", F.col("form").alias("whole"), F.lit(None).cast("string").alias("original"), F.lit(0).cast("bigint").alias("n_word"))
+    per_chain = whole.unionByName(begun).groupBy("word", "chain", "whole", F.coalesce(F.col("original").rlike(r"\p{L}"), F.lit(False)).alias("_letters")).agg(F.max(F.struct("n_word", "original")).alias("b"))
+    suspects = Stored(per_chain.groupBy("word").agg(F.collect_list(F.struct("chain", "whole", F.col("b.original").alias("original"), F.col("b.n_word").alias("n_word"))).alias("options"))).df  # a few entries for each chain
     hits = lookup(seen, suspects, "word", "inner").select("id", "passage", "word", F.explode("options").alias("o"))
     # A suspect word weighs more the commoner its original is; one known by its start only weighs least.
     weight = F.lit(1.0) + F.log2(F.lit(1.0) + F.col("o.n_word"))
-    votes = hits.groupBy("id", "passage", "o.chain").agg(F.collect_list(F.when(F.col("o.original").isNotNull(), F.struct("word", "o.original"))).alias("known"), F.sum(weight).alias("votes"))
+    votes = hits.groupBy("id", "passage", "o.chain").agg(F.collect_list(F.when(F.col("o.original").isNotNull(), F.struct(F.col("o.whole").alias("word"), "o.original"))).alias("known"), F.sum(weight).alias("votes"))
     per_text = votes.groupBy("id").agg(F.collect_list(F.struct("passage", "chain", "known", "votes")).alias("suspects"))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(per_text, "id")
 

@@ -127,3 +127,16 @@ def test_garbled_documents_are_found_and_restored(spark):
     assert not wrong
     assert "it’s" in got[1200]["restored"] and got[1200]["lost"] <= 1
     assert C.repair(df.limit(0), "doc_id", "text").count() == 0
+
+
+STRIPPED = ["À l’échelle 54, un carré reste tracé d’un seul geste.", "L’image de 32 × 32 points reste à droite, même après 7 essais.", "Ça ne change rien à l’index — ni à l’œil.", "On cite “l’index” plus loin."]
+
+
+@pytest.mark.parametrize("read", ["latin-1", "iso8859-15"])
+def test_stripped_bytes_are_restored_from_known_words(spark, read):
+    clean = [(i, " ".join(STRIPPED)) for i in range(9)]
+    strip = lambda t: "".join(c for c in t if not "\x7f" < c < "\xa0")
+    bad = [(100 + i, strip(C.garble(t, ("utf-8", read)))) for i, t in enumerate(STRIPPED)] + [(200 + i, strip(C.garble(t, ("utf-8", read))).replace("\xa0", " ")) for i, t in enumerate(STRIPPED)]
+    sound = [(300, "If you see Ã± instead of ñ, the reader is wrong."), (301, "Session 5 has 3 attempts at 'Ã'."), (302, "Île, château et Âge."), (303, "The rows read Ã and â and é.")]
+    got = {r["id"]: r["restored"] for r in C.repair(spark.createDataFrame(clean + bad + sound, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {i: STRIPPED[i % 100] for i, _ in bad}
