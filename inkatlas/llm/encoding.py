@@ -10,6 +10,7 @@ or no-break spaces turned into blanks, the passage is decoded word by word and k
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -213,6 +214,36 @@ def looks_garbled(word: str) -> bool:
     return any(all(c < "\u0530" or "\u1e00" <= c < "\u3000" or c == LOST for c in r[0]) for r in read if r is not None)
 
 
+#: Marks that sound text sets next to letters.
+_MARKS = frozenset("‘’‚‛“”„‟‹›«»–—―…·•¿¡°§¶№′″‐‑\xa0\xad\u200b\u2009\u202f")
+
+
+def _script(c: str) -> str:
+    """Script of a letter, ``mark`` for anything that goes with any, ``odd`` for other signs."""
+    if c in _MARKS or unicodedata.category(c)[0] in "MN" and c not in "²³¹¼½¾":
+        return "mark"
+    if not c.isalpha() or c in "ªºµ":
+        return "odd"
+    return unicodedata.name(c, "odd").split(" ")[0]
+
+
+def oddness(text: str) -> int:
+    """How little the words look like any language: signs among letters, mixed scripts, capitals after small letters, long
+    runs of accented Latin letters. It is told from the text alone, so copies do not move it."""
+    odd = 0
+    for word in re.findall(WORD, text):
+        if word.isascii():
+            continue
+        kinds = [_kept("script", c, lambda c=c: _script(c)) for c in word]
+        letters = Counter(k for k in kinds if k not in ("mark", "odd"))
+        if not letters:
+            continue
+        odd += kinds.count("odd") + sum(letters.values()) - max(letters.values())
+        odd += sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+        odd += sum(len(run) >= 4 for run in "".join("x" if k == "LATIN" and c > "\x7f" else " " for k, c in zip(kinds, word)).split())
+    return odd
+
+
 def forms_of(word: str) -> Iterator[tuple[str, int]]:
     """``(garbled form, chain number)`` of a clean word. Letters of one byte need a word of three letters to be told.
 
@@ -300,7 +331,7 @@ def repair_text(text: str, suspects: dict[int, list[tuple[int, list[tuple[str, s
 
     ``suspects``: passage number to ``(chain, [(word, original)], weight)``. A passage is decoded by the chain of largest
     weight among those that decode it wholly; a chain of single bytes also needs known originals for at least half of
-    the passage's words beyond ASCII. If none does, bytes may have been stripped: the chain that loses least is taken.
+    the passage's words beyond ASCII, must not leave it odder, and among several the least odd result counts. If none does, bytes may have been stripped: the chain that loses least is taken.
     """
     pieces = re.split(f"({PASSAGE})", text)
     used, gone = [], 0
@@ -311,7 +342,8 @@ def repair_text(text: str, suspects: dict[int, list[tuple[int, list[tuple[str, s
         passage = pieces[at]
         words = [w for w in re.findall(WORD, passage) if any(c > "\x7f" for c in w)]
         ordered = sorted(options, key=lambda o: (-o[2], o[0]))
-        for chain_number, known, votes in ordered:
+        singles = []
+        for rank, (chain_number, known, _) in enumerate(ordered):
             chain = chains_kept()[chain_number]
             originals = _words_first(known)
             if _by_utf8(chain):
@@ -319,7 +351,7 @@ def repair_text(text: str, suspects: dict[int, list[tuple[int, list[tuple[str, s
                 if got is None:
                     continue
                 fixed, lost = got
-                if lost and not any(c > "\x7f" and c != LOST for c in fixed) and not any(sum(c.isalpha() for c in originals.get(w, "")) >= 3 for w in words):
+                if lost and LOST not in passage and not any(c > "\x7f" and c != LOST for c in fixed) and not any(sum(c.isalpha() for c in originals.get(w, "")) >= 3 for w in words):
                     continue  # a quoted sign that could be the rest of anything
                 if lost:
                     swapped = re.sub(WORD, lambda m: originals.get(m.group(), m.group()), passage)
@@ -343,16 +375,24 @@ def repair_text(text: str, suspects: dict[int, list[tuple[int, list[tuple[str, s
                 if not whole:
                     continue
                 fixed = "".join(parts)
-                gone += fixed.count(LOST)
-            pieces[at] = fixed
-            used.append(chain_number)
+                odd = oddness(fixed)
+                if odd <= oddness(passage):
+                    singles.append((odd, rank, fixed))
+                continue
+            if not singles:
+                pieces[at] = fixed
+                used.append(chain_number)
             break
         else:
-            filled = [(f.count(LOST), rank, f) for rank, o in enumerate(ordered) if _by_utf8(chains_kept()[o[0]]) and (f := _fill(passage, chains_kept()[o[0]], o[1])) is not None]
+            filled = [] if singles else [(f.count(LOST), rank, f) for rank, o in enumerate(ordered) if _by_utf8(chains_kept()[o[0]]) and (f := _fill(passage, chains_kept()[o[0]], o[1])) is not None]
             if filled:
                 lost, rank, pieces[at] = min(filled)
                 gone += lost
                 used.append(ordered[rank][0])
+        if singles:
+            _, rank, pieces[at] = min(singles)
+            gone += pieces[at].count(LOST)
+            used.append(ordered[rank][0])
     return "".join(pieces), used, gone
 
 
@@ -373,7 +413,9 @@ def repair(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = documents.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     seen = Stored(words_of(documents, id_col, text_col)).df
-    counts = Stored(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))).df
+    # Each distinct text counts once, however many ids hold a copy of it.
+    firsts = documents.where(F.col(text_col).rlike(BEYOND)).groupBy(F.xxhash64(text_col).alias("h")).agg(F.min(id_col).alias("id")).select("id")
+    counts = Stored(seen.join(firsts, "id", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))).df
     chars = counts.select(F.explode(F.array_distinct(F.filter(F.split("word", ""), lambda c: c.rlike(BEYOND)))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
     def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -390,19 +432,29 @@ def repair(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     clean = counts.select("word", "n", F.lit(False).alias("alone")).unionByName(chars.select("word", "n", F.lit(True).alias("alone")))
     forms = Stored(clean.repartition(tasks).mapInPandas(table, "form string, whole string, word string, chain int, n_word bigint, alone boolean, utf8 boolean")).df
-    # A form of single bytes is suspect only if its original is the commoner word.
-    whole = counts.withColumnRenamed("word", "form").join(forms.where("NOT alone"), "form").where(F.col("utf8") | (F.col("n_word") > F.col("n"))).select(F.col("form").alias("word"), "chain", "whole", F.col("word").alias("original"), "n_word")
+    met = counts.withColumnRenamed("word", "form").join(forms.where("NOT alone"), "form").select(F.col("form").alias("word"), "chain", "whole", F.col("word").alias("original"), "n_word", "n", "utf8")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["gain"] = [oddness(w) - oddness(o) for w, o in zip(pdf["word"], pdf["original"])]
+            yield pdf.drop(columns="n")[pdf["gain"] >= 0].assign(firm=(pdf["gain"] > 0) | (pdf["n_word"] > pdf["n"]))
+
+    # A form of single bytes is suspect if its original is less odd; one as odd if it is the commoner word, or beside one less odd.
+    judged = met.where("NOT utf8").mapInPandas(compare, "word string, chain int, whole string, original string, n_word bigint, utf8 boolean, gain int, firm boolean")
+    whole = met.where("utf8").select("word", "chain", "whole", "original", "n_word", F.lit(0).alias("gain"), F.lit(True).alias("firm")).unionByName(judged.drop("utf8"))
     # Words beyond the corpus vocabulary (rare symbols in quotes): the start of the garbled run is a known character's form.
     run = F.regexp_extract("form", r"([\x{80}-\x{10ffff}]{2,})", 1)
     starts = counts.withColumnRenamed("word", "form").select("form", run.alias("run")).where(F.length("run") >= 2)
     starts = starts.select("form", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("run"), F.lit(_PREFIX))), lambda i: F.substring("run", F.lit(1), i))).alias("start"))
-    begun = starts.join(forms.where("alone AND utf8 AND length(form) >= 2 AND form = whole").select(F.col("form").alias("start"), "chain"), "start").select(F.col("form").alias("word"), "chain", F.col("form").alias("whole"), F.lit(None).cast("string").alias("original"), F.lit(0).cast("bigint").alias("n_word"))
-    per_chain = whole.unionByName(begun).groupBy("word", "chain", "whole", F.coalesce(F.col("original").rlike(r"\p{L}"), F.lit(False)).alias("_letters")).agg(F.max(F.struct("n_word", "original")).alias("b"))
-    suspects = Stored(per_chain.groupBy("word").agg(F.collect_list(F.struct("chain", "whole", F.col("b.original").alias("original"), F.col("b.n_word").alias("n_word"))).alias("options"))).df  # a few entries for each chain
+    begun = starts.join(forms.where("alone AND utf8 AND length(form) >= 2 AND form = whole").select(F.col("form").alias("start"), "chain"), "start").select(F.col("form").alias("word"), "chain", F.col("form").alias("whole"), F.lit(None).cast("string").alias("original"), F.lit(0).cast("bigint").alias("n_word"), F.lit(0).alias("gain"), F.lit(True).alias("firm"))
+    per_chain = whole.unionByName(begun).groupBy("word", "chain", "whole", F.coalesce(F.col("original").rlike(r"\p{L}"), F.lit(False)).alias("_letters")).agg(F.max(F.struct("firm", "n_word", "original", "gain")).alias("b"))
+    suspects = Stored(per_chain.groupBy("word").agg(F.collect_list(F.struct("chain", "whole", F.col("b.original").alias("original"), F.col("b.n_word").alias("n_word"), (F.col("b.gain") > 0).alias("less"), F.col("b.firm").alias("firm"))).alias("options"))).df  # a few entries for each chain
     hits = lookup(seen, suspects, "word", "inner").select("id", "passage", "word", F.explode("options").alias("o"))
     # A suspect word weighs more the commoner its original is; one known by its start only weighs least.
     weight = F.lit(1.0) + F.log2(F.lit(1.0) + F.col("o.n_word"))
-    votes = hits.groupBy("id", "passage", "o.chain").agg(F.collect_list(F.when(F.col("o.original").isNotNull(), F.struct(F.col("o.whole").alias("word"), "o.original"))).alias("known"), F.sum(weight).alias("votes"))
+    known = F.when(F.col("o.original").isNotNull(), F.struct(F.col("o.whole").alias("word"), "o.original", "o.firm"))
+    votes = hits.groupBy("id", "passage", "o.chain").agg(F.collect_list(known).alias("known"), F.sum(weight).alias("votes"), F.max("o.less").alias("less"), F.max("o.firm").alias("firm")).where("firm")
+    votes = votes.withColumn("known", F.filter("known", lambda k: F.col("less") | k["firm"]))
     per_text = votes.groupBy("id").agg(F.collect_list(F.struct("passage", "chain", "known", "votes")).alias("suspects"))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(per_text, "id")
 

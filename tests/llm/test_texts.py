@@ -140,3 +140,12 @@ def test_stripped_bytes_are_restored_from_known_words(spark, read):
     sound = [(300, "If you see Ã± instead of ñ, the reader is wrong."), (301, "Session 5 has 3 attempts at 'Ã'."), (302, "Île, château et Âge."), (303, "The rows read Ã and â and é.")]
     got = {r["id"]: r["restored"] for r in C.repair(spark.createDataFrame(clean + bad + sound, "doc_id long, text string"), "doc_id", "text").collect()}
     assert got == {i: STRIPPED[i % 100] for i, _ in bad}
+
+
+def test_copies_of_garbled_texts_do_not_outvote_their_originals(spark):
+    texts = {("cp1251", "koi8-r"): SENTENCES[3], ("cp1252", "cp437"): SENTENCES[0], ("cp1253", "cp1252"): SENTENCES[4], ("cp1250", "cp1252"): SENTENCES[5]}
+    clean = [(i, t) for i, t in enumerate(texts.values())]
+    bad = [(100 * (k + 1) + i, C.garble(t, chain) + (f" Copy {i}." if i > 20 else "")) for k, (chain, t) in enumerate(texts.items()) for i in range(40)]
+    got = {r["id"]: r["restored"] for r in C.repair(spark.createDataFrame(clean + bad, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert set(got) == {i for i, _ in bad}
+    assert all(got[i].startswith(list(texts.values())[i // 100 - 1]) for i in got)
