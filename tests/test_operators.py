@@ -273,3 +273,15 @@ def test_principal_directions(spark):
     _, want = np.linalg.eigh(np.cov(x.T))
     assert np.allclose(np.abs(got), np.abs(want[:, ::-1][:, :2].T), atol=1e-6)
     assert principal_directions(df.limit(0), "v", 2).size == 0
+
+
+def test_stream_counts_files_in_no_order_of_time(spark, tmp_path):
+    from inkatlas.streaming.events import run_window_counts
+
+    # Forty files, the newest day first: more batches than one, and each later file lies far before the first.
+    for k in range(40):
+        day = f"2024-{3 - k // 20:02d}-{20 - k % 20:02d}"
+        one = spark.createDataFrame([(f"{day} 10:00:00", "a", 1.0), (f"{day} 12:00:00", "b", 2.0)], "ts string, event_type string, value double")
+        one.selectExpr("cast(ts as timestamp_ntz) ts", "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = run_window_counts(spark, str(tmp_path / "events.parquet")).collect()
+    assert len(got) == 80 and {(r["event_type"], r["n"], r["total"]) for r in got} == {("a", 1, 1.0), ("b", 1, 2.0)}
