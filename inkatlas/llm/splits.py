@@ -1,9 +1,10 @@
 """Splits that keep related records together (problem 3).
 
-The ledger is a persisted table ``(node, component, split, status)``, one row per record with relations. A new batch
+The ledger is a persisted table ``(node, component, split, status)``, one row per record with relations, in which
+``old_component`` and ``old_split`` keep what a quarantined record had before. A new batch
 brings links; the components of old and new records are merged by label propagation with pointer jumping. A component
 that already has a split keeps it, one without fills the split that lacks most, and one that joins components of
-different splits is quarantined: it keeps its records' old splits on record but is offered to none.
+different splits is quarantined: it keeps its records' old splits on record but is offered to none until ``release``.
 """
 
 from __future__ import annotations
@@ -97,15 +98,19 @@ def extend_ledger(ledger: DataFrame | None, links: DataFrame, sizes: DataFrame,
 
     ``links``: ``(first, second)`` between records, old or new; ``sizes``: ``(node, size)`` of every record of the batch
     (0 or null sizes count nothing); records without a link form components of their own. Result:
-    ``(node, component, size, split, status)``; status is ``kept`` (component had a split), ``new`` (it fills a deficit)
+    ``(node, component, size, split, status, old_component, old_split)``; status is ``kept`` (component had a split), ``new`` (it fills a deficit)
     or ``quarantined`` (it joins components of different splits; split is ``quarantine``, and stays so until released).
+    The old columns are those a quarantined record had when it was last in a split, null for all others.
     A ledger of None or without rows starts afresh; an empty batch leaves the ledger as it is.
     """
     spark = sizes.sparkSession
     batch = sizes.groupBy("node").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
     if ledger is None:
         ledger = spark.createDataFrame([], f"node {sizes.schema['node'].dataType.simpleString()}, component {sizes.schema['node'].dataType.simpleString()}, size bigint, split string, status string")
-    old = Stored(ledger.select("node", "component", "size", "split")).df
+    for name, source in (("old_component", "component"), ("old_split", "split")):
+        if name not in ledger.columns:  # a ledger written before these columns were kept
+            ledger = ledger.withColumn(name, F.lit(None).cast(ledger.schema[source].dataType))
+    old = Stored(ledger.select("node", "component", "size", "split", "old_component", "old_split")).df
     both = old.select("node", "component", "size", "split").unionByName(batch.select("node", F.lit(None).cast(old.schema["component"].dataType).alias("component"), F.col("size").cast("bigint").alias("size"), F.lit(None).cast("string").alias("split")))
     records = Stored(both.groupBy("node").agg(F.max("component").alias("was"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.max("split").alias("old_split"))).df
     kept_links = old.select(F.col("node").alias("first"), F.col("component").alias("second"))
@@ -121,4 +126,22 @@ def extend_ledger(ledger: DataFrame | None, links: DataFrame, sizes: DataFrame,
         .select("component", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(QUARANTINE).alias("split"), F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != QUARANTINE), "kept").otherwise("quarantined").alias("status"))
         .unionByName(fresh.select(F.col("unit").alias("component"), "split", F.lit("new").alias("status")))
     )
-    return cut(lookup(placed, Stored(decided).df, "component").select("node", "component", "size", "split", "status"))
+    now = lookup(placed, Stored(decided).df, "component").select("node", "component", "size", "split", "status")
+    # What a record had is what it was given last, or for one quarantined earlier what was kept then.
+    had_split = F.when(F.col("split") == QUARANTINE, F.col("old_split")).otherwise(F.col("split"))
+    had_component = F.when(F.col("split") == QUARANTINE, F.col("old_component")).otherwise(F.col("component"))
+    had = old.select("node", had_component.alias("_component"), had_split.alias("_split")).groupBy("node").agg(F.max("_component").alias("_component"), F.max("_split").alias("_split"))
+    held = F.col("split") == QUARANTINE
+    return cut(now.join(had, "node", "left").select("node", "component", "size", "split", "status", F.when(held, F.col("_component")).alias("old_component"), F.when(held, F.col("_split")).alias("old_split")))
+
+
+def release(ledger: DataFrame, components: list) -> DataFrame:
+    """The ledger with the given quarantined components undone: their records get back their old component and split.
+
+    Records that had none (they came with the wrong link) are left out; give them again in the next batch.
+    """
+    freed = F.col("component").isin(components) & (F.col("split") == QUARANTINE)
+    kept = ledger.where(~freed | F.col("old_split").isNotNull())
+    none = F.lit(None)
+    changed = {"component": F.when(freed, F.col("old_component")).otherwise(F.col("component")), "split": F.when(freed, F.col("old_split")).otherwise(F.col("split")), "status": F.when(freed, "kept").otherwise(F.col("status")), "old_component": F.when(freed, none).otherwise(F.col("old_component")), "old_split": F.when(freed, none).otherwise(F.col("old_split"))}
+    return cut(kept.select("node", "size", *[c.alias(n) for n, c in changed.items()]).select("node", "component", "size", "split", "status", "old_component", "old_split"))

@@ -96,3 +96,20 @@ def test_ledger_keeps_fills_and_quarantines(spark):
     assert all(two[n]["split"] == one[n]["split"] for n in one if n not in (a, b))
     third = {r["node"]: r["split"] for r in extend_ledger(second, links([]), sizes([]), targets).collect()}
     assert third == {n: r["split"] for n, r in two.items()}
+
+
+def test_quarantined_records_get_their_splits_back(spark):
+    from inkatlas.llm.splits import release
+
+    targets = spark.createDataFrame(TARGETS, "split_name string, target_share double")
+    sizes = lambda rows: spark.createDataFrame(rows, "node long, size long")
+    links = lambda rows: spark.createDataFrame(rows, "first long, second long")
+    first = extend_ledger(None, links([(1, 2), (3, 4)]), sizes([(i, 10) for i in range(1, 41)]), targets)
+    one = {r["node"]: (r["component"], r["split"]) for r in first.collect()}
+    a = next(n for n, (_, s) in one.items() if s == "train" and n > 4)
+    b = next(n for n, (_, s) in one.items() if s != "train" and n > 4)
+    second = extend_ledger(extend_ledger(first, links([(a, b), (b, 99)]), sizes([(99, 1)]), targets), links([]), sizes([]), targets)
+    two = {r["node"]: r for r in second.collect()}
+    assert two[a]["split"] == QUARANTINE and (two[a]["old_component"], two[a]["old_split"]) == one[a] and (two[b]["old_component"], two[b]["old_split"]) == one[b]
+    back = {r["node"]: (r["component"], r["split"]) for r in extend_ledger(release(second, [min(a, b)]), links([]), sizes([]), targets).collect()}
+    assert back == one
