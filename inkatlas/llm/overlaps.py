@@ -1,11 +1,14 @@
 """The same or nearly the same drawings across splits (problem 4).
 
-Ink is read as one polyline of its points, pen lifts included, so lifting the pen elsewhere changes nothing. A window of
-K segments becomes a seed: the segments' directions and length ratios, in coarse bins, and where the window lies in the
-drawing's box; moved and scaled copies have the same seeds, and a window read backwards counts as the same. Winnowing
-keeps the smallest rolling hash of every few windows. Seeds of evaluation rows meet seeds of training rows; the seeds of
-a pair that lie on one line are chained, and the pair is aligned from its best chain over all points. The coverage of
-both drawings decides.
+Ink is read as one polyline of its points, pen lifts included. A window of K segments becomes a seed: a rolling hash of
+the segments' directions and length ratios, in coarse bins, joined to where the window lies in the drawing's box; moved
+and scaled copies have the same seeds. The hash rolls in both reading directions and the smaller value counts, so a
+window read backwards is the same window. Winnowing keeps the smallest hash of every WINNOW windows in a row. Seeds of
+evaluation rows meet seeds of training rows; the seeds of a pair that lie on one line are chained, and the pair is
+aligned from its best chain over all points. The coverage of both drawings decides.
+
+Ink with little shape of its own (at most K points, or on a straight line) is like any other of its kind once it may be
+moved and scaled. It is compared as recorded: in its place and size.
 """
 
 from __future__ import annotations
@@ -15,30 +18,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkatlas.operators.skew import lookup
 from inkatlas.storage import Stored
 
-#: Segments of a window, winnowing width, direction bins, position cells on each axis.
-K, WINNOW, DIRECTIONS, CELLS = 5, 2, 20, 4
-#: Bins of the logarithm (base 2) of a segment's length over that of the one before; the outer bins are open.
-RATIO_BINS = np.array([-1.4, -0.7, 0.0, 0.7, 1.4])
+#: Segments of a window, winnowing width, direction bins, position cells along the longer side.
+K, WINNOW, DIRECTIONS, CELLS = 4, 3, 20, 12
+#: Bins of the logarithm (base 2) of a segment's length over that of the one before, and their width; the outer are open.
+RATIOS, RATIO_WIDTH = 6, 0.7
 #: A value this close to the edge of its bin (as a part of the bin) is also read as its neighbour by evaluation rows.
-EDGE = 0.16
-#: Points agree within TOLERANCE units plus PART of the drawing's size, after scaling and shifting.
-TOLERANCE, PART = 3.0, 0.006
+EDGE = 0.14
+#: Points agree within TOLERANCE units plus PART of the drawing's size, after scaling and shifting; but within MOST of
+#: the size, as anything small resembles anything else.
+TOLERANCE, PART, MOST = 3.0, 0.006, 0.08
 #: Both drawings must be covered by agreeing points to this share.
 COVERED = 0.85
-
-SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, u float, v float, px float, py float, qx float, qy float, span float"
-#: Where the window lies in the box, its middle and last point as seen from its first, and its length.
-PLACE = ("u", "v", "px", "py", "qx", "qy", "span")
+#: Side of the cells in which the corners of plain ink's box are looked up, in units.
+CORNER = 12.0
+#: Place of the seed of a drawing compared as recorded.
+RECORDED = -1
+
+SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, look bigint"
+#: Bits of ``look`` and the value of one step: where the window lies in the box, its middle and last point as seen from
+#: its first in parts of its length, and the logarithm of its length.
+LOOK = {"u": (8, 1 / 255), "v": (8, 1 / 255), "px": (10, 2 / 1023), "py": (10, 2 / 1023), "qx": (10, 2 / 1023), "qy": (10, 2 / 1023), "span": (8, 1 / 12)}
 #: Seeds that meet agree in place to SLACK + STEP / points, as an extreme point may be missing, at most one step of the pen,
 SLACK, STEP = 0.05, 1.5
 #: and their windows in shape, to a part DRIFT of their length and a shift of JITTER units on either side.
-DRIFT, JITTER = 0.01, 3.0
+DRIFT, JITTER = 0.012, 3.0
+#: Rows of a class that are paired in one task; larger classes are cut.
+BLOCK_ROWS = 1_000
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
@@ -48,25 +63,23 @@ def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
     return points["x"], points["y"], F.transform(clean, lambda k: F.size(k))
 
 
-def _sound(x: np.ndarray, y: np.ndarray, *lens: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Without points that are no finite numbers below 1e9; every array of lengths tells the parts of all points."""
-    with np.errstate(invalid="ignore"):
-        ok = (np.abs(x) < 1e9) & (np.abs(y) < 1e9)
-    if ok.all():
-        return x, y, *lens
+def _kept(ok: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each drawing's points are left."""
     total = np.r_[0, np.cumsum(ok)]
-    ends = [np.r_[0, np.cumsum(n)].astype(np.int64) for n in lens]
-    return x[ok], y[ok], *[np.diff(total[e]) for e in ends]
+    return np.diff(total[np.r_[0, np.cumsum(counts)].astype(np.int64)])
 
 
-def _moving(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Without points that repeat the one before in their drawing; they carry no direction."""
+def _clean(x: np.ndarray, y: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Points without those that are no finite numbers below 1e9 and those that repeat the one before in their drawing,
+    which carry no direction; ``more`` are values of the points."""
+    with np.errstate(invalid="ignore"):
+        ok = (np.abs(x) < 1e9) & (np.abs(y) < 1e9)
+    if not ok.all():
+        x, y, counts, more = x[ok], y[ok], _kept(ok, counts), tuple(m[ok] for m in more)
     moved = np.ones(len(x), bool)
     moved[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    begin = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
-    moved[begin[counts > 0]] = True
-    total = np.r_[0, np.cumsum(moved)]
-    return x[moved], y[moved], total[begin + counts] - total[begin]
+    moved[np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)[counts > 0]] = True
+    return x[moved], y[moved], _kept(moved, counts), *[m[moved] for m in more]
 
 
 def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -75,19 +88,9 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - np.r_[0, ends[:-1]], lens)
 
 
-def _reversed_strokes(lens: np.ndarray, strokes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of points with each drawing's strokes in reverse order, and which drawings they are: those with several."""
-    of = np.repeat(np.arange(len(strokes)), strokes)
-    first = np.r_[0, np.cumsum(strokes)[:-1]]
-    back = (2 * first + strokes - 1)[of] - np.arange(len(lens))
-    back = back[strokes[of] > 1]
-    starts = np.r_[0, np.cumsum(lens)[:-1]]
-    return _ranges(starts[back], lens[back]), np.flatnonzero(strokes > 1)
-
-
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of a column of lists without nulls."""
-    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _batch(columns: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
@@ -103,171 +106,210 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _windows(x: np.ndarray, y: np.ndarray, row: np.ndarray, box: np.ndarray) -> dict[str, np.ndarray]:
-    """All windows of K segments of many drawings at once. ``row`` tells each point's drawing, in order."""
-    dx, dy = np.diff(x), np.diff(y)
-    n = len(dx) - K + 1
-    if n <= 0:
-        return {}
-    start = np.flatnonzero(row[: n] == row[K : n + K])  # K + 1 points of one drawing
-    length = np.hypot(dx, dy)
-    angle = np.arctan2(dy, dx) * (DIRECTIONS / (2 * np.pi))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.log2(np.maximum(length[1:], 1e-3) / np.maximum(length[:-1], 1e-3))
-    seg = start[:, None] + np.arange(K)[None]
-    # Read a window in the direction whose first half is shorter; a turned window has opposite directions, in reverse.
-    lens = length[seg]
-    half = K // 2
-    balance = np.log(np.maximum(lens[:, :half].sum(1), 1e-3) / np.maximum(lens[:, -half:].sum(1), 1e-3))
-    points = start[:, None] + np.arange(K + 1)
-    wx, wy, b = x[points], y[points], box[row[start]]
-    place = {"u": (wx.mean(1) - b[:, 0]) / np.maximum(b[:, 2], 1e-3), "v": (wy.mean(1) - b[:, 1]) / np.maximum(b[:, 3], 1e-3), "span": lens.sum(1)}
-    return {**place, "wx": wx, "wy": wy, "start": start, "angle": angle[seg], "ratio": ratio[seg[:, :-1]], "balance": balance, "row": row[start]}
-
-
-def _shape(w: dict[str, np.ndarray], turned: np.ndarray) -> dict[str, np.ndarray]:
-    """The columns PLACE of windows read in their direction."""
-    out = {c: w[c] for c in ("u", "v", "span")}
-    for name, key in (("x", "wx"), ("y", "wy")):
-        along = np.where(turned[:, None], w[key][:, ::-1], w[key])
-        for point, k in (("p", (K + 1) // 2), ("q", K)):
-            out[point + name] = (along[:, k] - along[:, 0]) / np.maximum(w["span"], 1e-3)
-    return {c: out[c].astype(np.float32) for c in PLACE}
-
-
-def _features(w: dict[str, np.ndarray], turned: np.ndarray) -> np.ndarray:
-    """Real-valued features, one unit to a bin: K directions, K - 1 ratios, 2 positions."""
-    angle = np.where(turned[:, None], (w["angle"][:, ::-1] + DIRECTIONS / 2), w["angle"])
-    ratio = np.where(turned[:, None], -w["ratio"][:, ::-1], w["ratio"])
-    lo, width = RATIO_BINS[0], RATIO_BINS[1] - RATIO_BINS[0]
-    px, py = w["u"] * CELLS, w["v"] * CELLS
-    return np.concatenate([np.mod(angle, DIRECTIONS), np.clip((ratio - lo) / width, -0.5, len(RATIO_BINS) - 0.5) + 1, px[:, None], py[:, None]], axis=1)
-
-
-def _hash(bins: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(bins), np.uint64)
-    for c in range(bins.shape[1]):
-        h = _mix(h * np.uint64(31) + (bins[:, c] + 64).astype(np.uint64))
-    return h
-
-
-def seeds_of(rep: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray, lens: np.ndarray, strokes: np.ndarray, probing: bool) -> pd.DataFrame:
-    """Winnowed seeds of drawings: all points one after another, ``counts`` of them for each drawing; all strokes' lengths
-    ``lens``, ``strokes`` of them for each drawing. Every drawing has a point.
-
-    Training rows give each kept window's hash. Probing (evaluation) rows are also read with their strokes in reverse
-    order, and also give the hashes of windows of which one value, close to the edge of its bin, lies in the next bin.
-    Drawings with at most K points in all give one hash of their whole shape.
-    """
-    out: list[pd.DataFrame] = []
-    given = (rep, x, y, counts)
-    for order in (0, 1) if probing else (0,):
-        if order:
-            points, which = _reversed_strokes(lens, strokes)
-            reps, counts = given[0][which], given[3][which]
-            x, y = given[1][points], given[2][points]
-        else:
-            reps, x, y, counts = given
-        if not len(reps):
-            continue
-        x, y, counts = _moving(x, y, counts)
-        row = np.repeat(np.arange(len(reps)), counts)
-        begin = np.r_[0, np.cumsum(counts)[:-1]]
-        x0, y0 = np.minimum.reduceat(x, begin), np.minimum.reduceat(y, begin)
-        box = np.stack([x0, y0, np.maximum.reduceat(x, begin) - x0, np.maximum.reduceat(y, begin) - y0], 1)
-        side = box[:, 2:].max(1, keepdims=True)
-        box[:, 2:] = np.maximum(box[:, 2:], side / 4)  # a flat drawing has no position across
-        short = np.flatnonzero(counts <= K)
-        if len(short) and not order:
-            whole = np.array([_short_hash(x[begin[i] : begin[i] + counts[i]], y[begin[i] : begin[i] + counts[i]]) for i in short], np.uint64)
-            out.append(pd.DataFrame({"rep": reps[short], "hash": whole.view(np.int64), "turned": False, "at": 0, "of": counts[short], **dict.fromkeys(PLACE, np.float32(0))}))
-        w = _windows(x, y, row, box)
-        if not w or not len(w["start"]):
-            continue
-        sure = np.abs(w["balance"]) > 0.05
-        turned = w["balance"] > 0
-        base = _features(w, turned)
-        bins = np.floor(base).astype(np.int64)
-        bins[:, :K] %= DIRECTIONS
-        hashes = _hash(bins)
-        # Winnowing: a window stays if its hash is the smallest of WINNOW neighbours on some side.
-        keep = np.zeros(len(hashes), bool)
-        r = w["row"]
-        alone = np.ones(len(hashes), bool)
-        same = r[1:] == r[:-1]
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        smaller = hashes[:-1] <= hashes[1:]
-        keep[:-1] |= same & smaller
-        keep[1:] |= same & ~smaller
-        keep |= alone
-        at = w["start"] - begin[r]
-        kept = np.flatnonzero(keep)
-        parts = [(kept, hashes[kept], turned[kept])]
-        if probing:
-            parts += _near_edges(base, bins, kept, turned)
-            # Where both reading directions are about equal, the other one is tried too.
-            other = np.flatnonzero(keep & ~sure)
-            if len(other):
-                flipped = _features({k: v[other] for k, v in w.items()}, ~turned[other])
-                fb = np.floor(flipped).astype(np.int64)
-                fb[:, :K] %= DIRECTIONS
-                parts.append((other, _hash(fb), ~turned[other]))
-        for which, h, t in parts:
-            out.append(pd.DataFrame({"rep": reps[r[which]], "hash": h.view(np.int64), "turned": t, "at": (at[which] + (1 << 16) * order).astype(np.int32), "of": counts[r[which]].astype(np.int32), **_shape({k: v[which] for k, v in w.items()}, t)}))
-    if not out:
-        return pd.DataFrame({"rep": np.zeros(0, np.int64), "hash": np.zeros(0, np.int64), "turned": np.zeros(0, bool), "at": np.zeros(0, np.int32), "of": np.zeros(0, np.int32), **{c: np.zeros(0, np.float32) for c in PLACE}})
-    return pd.concat(out, ignore_index=True)
-
-
-def _near_edges(base: np.ndarray, bins: np.ndarray, kept: np.ndarray, turned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes of the kept windows with one value moved to the bin it almost lies in."""
-    out = []
-    for c in range(base.shape[1]):
-        part = base[kept, c] - np.floor(base[kept, c])
-        for step, near in ((-1, part < EDGE), (1, part > 1 - EDGE)):
-            which = kept[near]
-            if not len(which):
-                continue
-            moved = bins[which].copy()
-            moved[:, c] += step
-            if c < K:
-                moved[:, c] %= DIRECTIONS
-            out.append((which, _hash(moved), turned[which]))
-    return out
+def _power(base: int, n: int) -> np.uint64:
+    return np.uint64(pow(base, n, 1 << 64))
 
 
-def _short_hash(x: np.ndarray, y: np.ndarray) -> np.uint64:
-    """A hash of a shape of at most K points that no scale, shift or reading direction changes."""
-    if len(x) == 1:
-        return np.uint64(1)
-    dx, dy = np.diff(x), np.diff(y)
-    length = np.hypot(dx, dy)
-    if length.sum() == 0:
-        return np.uint64(1)
-    turn = np.round(np.arctan2(dy, dx) * (8 / (2 * np.pi))).astype(np.int64)
-    share = np.round(length / length.sum() * 6).astype(np.int64)
-    forth = np.concatenate([turn % 8, share])[None]
-    back = np.concatenate([(turn[::-1] + 4) % 8, share[::-1]])[None]
-    return min(_hash(forth)[0], _hash(back)[0])
+def rolled(values: np.ndarray, width: int, base: int, inverse: int) -> np.ndarray:
+    """The rolling hash of every run of ``width`` values: the sum of value j times base ** j, modulo 2 ** 64, each taken
+    from the difference of two running sums."""
+    n = len(values)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)], dtype=np.uint64)[:n] for b in (base, inverse))
+    total = np.r_[np.uint64(0), np.cumsum(values.astype(np.uint64) * up, dtype=np.uint64)]
+    return (total[width:] - total[: n - width + 1]) * down[: n - width + 1]
 
 
-def covered(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, start: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def winnowed(hashes: np.ndarray, run: np.ndarray, width: int = WINNOW) -> np.ndarray:
+    """Indices of the hashes that are the smallest of some ``width`` neighbours in their run (of all in a shorter run)."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    sizes = np.diff(np.r_[begin, n])
+    at, end, first = np.arange(n), np.repeat(begin + sizes, sizes), np.repeat(begin, sizes)
+    most = np.iinfo(np.uint64).max
+    near = sliding_window_view(np.r_[hashes, np.full(width, most, np.uint64)], width)[:n]
+    least = np.where(at[:, None] + np.arange(width) < end[:, None], near, most).argmin(1) + at
+    return np.unique(least[(at + width <= end) | (at == first)])
+
+
+def _frames(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each drawing's box ``(x0, y0, x1, y1)`` and the largest distance of its points from its principal axis."""
+    begin = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
+    box = np.stack([f.reduceat(v, begin) for f in (np.minimum, np.maximum) for v in (x, y)], 1)
+    row = np.repeat(np.arange(len(counts)), counts)
+    cx, cy = (x - (np.add.reduceat(x, begin) / counts)[row], y - (np.add.reduceat(y, begin) / counts)[row])
+    xx, yy, xy = (np.add.reduceat(v, begin) for v in (cx * cx, cy * cy, cx * cy))
+    axis = np.arctan2(2 * xy, xx - yy) / 2
+    return box, np.maximum.reduceat(np.abs(cy * np.cos(axis)[row] - cx * np.sin(axis)[row]), begin)
+
+
+def _has_shape(points: np.ndarray, off_axis: np.ndarray, slack: float = 1.0) -> np.ndarray:
+    """Drawings with enough shape of their own to be told when moved and scaled."""
+    return (points > K) & (off_axis > slack * TOLERANCE)
+
+
+def _pack(values: dict[str, np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(values["u"]), np.uint64)
+    for name, (bits, step) in LOOK.items():
+        least = -1.0 if name[0] in "pq" else 0.0
+        code = np.clip(np.rint((values[name] - least) / step), 0, (1 << bits) - 1).astype(np.uint64)
+        out = (out << np.uint64(bits)) | code
+    return out.view(np.int64)
+
+
+def _unpacked(packed: Column) -> dict[str, Column]:
+    """The codes of ``look`` times their steps."""
+    out, shift = {}, 64
+    for name, (bits, step) in LOOK.items():
+        shift -= bits
+        out[name] = F.shiftrightunsigned(packed, shift).bitwiseAND((1 << bits) - 1) * F.lit(step)
+    return out
+
+
+def _corner_seeds(box: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``(index, hash)`` of the cells that hold the corners of boxes; probing also gives cells within TOLERANCE."""
+    which, cells = np.arange(len(box)), np.floor(box / CORNER).astype(np.int64)
+    for c in range(4) if probing else ():
+        part = box[which, c] - cells[:, c] * CORNER
+        moved = []
+        for step, near in ((-1, part < TOLERANCE), (1, part > CORNER - TOLERANCE)):
+            other = cells[near].copy()
+            other[:, c] += step
+            moved.append((which[near], other))
+        # The part within a cell stays that of the box itself, so each corner moves at most once.
+        which = np.concatenate([which, *[w for w, _ in moved]])
+        cells = np.concatenate([cells, *[o for _, o in moved]])
+        keep = np.abs(box[which, c] - (cells[:, c] + 0.5) * CORNER) <= CORNER / 2 + TOLERANCE
+        which, cells = which[keep], cells[keep]
+    h = np.full(len(which), 7, np.uint64)
+    for c in range(4):
+        h = _mix(h * np.uint64(31) + cells[:, c].astype(np.uint64))
+    return which, h
+
+
+def seeds_of(rep: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray, stroke: np.ndarray, probing: bool) -> pd.DataFrame:
+    """Winnowed seeds of drawings: all clean points one after another, ``counts`` of them for each (at least one), with
+    the number of each point's stroke.
+
+    Windows within a stroke are winnowed apart from those across a lift of the pen, so that the same ones are kept when
+    the strokes come in another order. Training rows give each kept window's hash; probing (evaluation) rows also the hashes of kept windows of which one
+    value, close to the edge of its bin, lies in the next bin. Ink without shape of its own gives the seed of its box as
+    recorded; ink that could be taken for it after losing a point or a little jitter gives both kinds.
+    """
+    begin = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    box, off_axis = _frames(x, y, counts)
+    plain = np.flatnonzero((counts <= K + 2) | ~_has_shape(counts, off_axis, 3.0))
+    which, h = _corner_seeds(box[plain], probing)
+    out = [{"rep": rep[plain][which], "hash": h, "turned": np.zeros(len(h), bool), "at": np.full(len(h), RECORDED), "of": counts[plain][which], "look": np.zeros(len(h), np.int64)}]
+
+    dx, dy = np.diff(x), np.diff(y)
+    n = max(len(dx) - K + 1, 0)
+    start = np.flatnonzero(row[:n] == row[K : n + K])  # K + 1 points of one drawing
+    start = start[_has_shape(counts, off_axis)[row[start]]]
+    if len(start):
+        length = np.maximum(np.hypot(dx, dy), 1e-3)
+        angle = np.mod(np.arctan2(dy, dx) * (DIRECTIONS / (2 * np.pi)), DIRECTIONS)
+        ratio = np.clip(np.log2(length[1:] / length[:-1]) / RATIO_WIDTH + RATIOS / 2, 0.01, RATIOS - 0.01)
+        direction, part = np.floor(angle).astype(np.int64) % DIRECTIONS, np.floor(ratio).astype(np.int64)
+        back, rest = (direction + DIRECTIONS // 2) % DIRECTIONS, RATIOS - 1 - part  # the same, read backwards
+        b2, i2 = pow(_BASE, 2, 1 << 64), pow(_INVERSE, 2, 1 << 64)
+        base = np.uint64(_BASE)
+        forth = rolled(direction + 1, K, b2, i2)[start] + base * rolled(part + 1, K - 1, b2, i2)[start]
+        over = rolled(back + 1, K, i2, b2)[start] * _power(b2, K - 1) + base * rolled(rest + 1, K - 1, i2, b2)[start] * _power(b2, K - 2)
+        r = row[start]
+        wx, wy = sliding_window_view(x, K + 1)[start], sliding_window_view(y, K + 1)[start]
+        side = np.maximum((box[:, 2:] - box[:, :2]).max(1), 1e-3)[r]
+        u = (wx.mean(1) - (box[r, 0] + box[r, 2]) / 2) / side + 0.5
+        v = (wy.mean(1) - (box[r, 1] + box[r, 3]) / 2) / side + 0.5
+        pu, pv = u * CELLS, v * CELLS
+        cu, cv = np.floor(pu).astype(np.int64), np.floor(pv).astype(np.int64)
+
+        def final(f: np.ndarray, g: np.ndarray, cu: np.ndarray, cv: np.ndarray) -> np.ndarray:
+            return _mix(_mix(np.minimum(f, g)) + (cu * 64 + cv).astype(np.uint64))
+
+        first, last = stroke[start], stroke[start + K]
+        across = first != last
+        new = np.r_[True, (r[1:] != r[:-1]) | (across[1:] != across[:-1]) | (~across[1:] & (first[1:] != first[:-1]))]
+        kept = winnowed(final(forth, over, cu, cv), np.cumsum(new))
+        every = np.arange(len(start)) if probing else kept
+        parts = [(every, forth[every], over[every], cu[every], cv[every])]
+        if probing:
+            s, f, g = start[kept], forth[kept], over[kept]
+            for j in range(K):
+                within = angle[s + j] % 1.0
+                for step, near in ((-1, within < EDGE), (1, within > 1 - EDGE)):
+                    old, turned = direction[s[near] + j], back[s[near] + j]
+                    f2 = f[near] + ((old + step) % DIRECTIONS - old).astype(np.uint64) * _power(b2, j)
+                    g2 = g[near] + ((turned + step) % DIRECTIONS - turned).astype(np.uint64) * _power(b2, K - 1 - j)
+                    parts.append((kept[near], f2, g2, cu[kept[near]], cv[kept[near]]))
+            for j in range(K - 1):
+                value = ratio[s + j]
+                within = value % 1.0
+                for step, near in ((-1, (within < EDGE) & (value >= 1)), (1, (within > 1 - EDGE) & (value < RATIOS - 1))):
+                    change = base * np.full(near.sum(), step).astype(np.uint64)
+                    parts.append((kept[near], f[near] + change * _power(b2, j), g[near] - change * _power(b2, K - 2 - j), cu[kept[near]], cv[kept[near]]))
+            for value, mu, mv in ((pu, 1, 0), (pv, 0, 1)):
+                within = value[kept] % 1.0
+                for step, near in ((-1, within < EDGE / 2), (1, within > 1 - EDGE / 2)):
+                    parts.append((kept[near], f[near], g[near], cu[kept[near]] + step * mu, cv[kept[near]] + step * mv))
+        for w, f, g, cu2, cv2 in parts:
+            turned = g < f
+            span = length[start[w][:, None] + np.arange(K)].sum(1)
+            x0, y0 = np.where(turned, wx[w, K], wx[w, 0]), np.where(turned, wy[w, K], wy[w, 0])
+            x1, y1 = np.where(turned, wx[w, 0], wx[w, K]), np.where(turned, wy[w, 0], wy[w, K])
+            look = {"u": u[w], "v": v[w], "px": (wx[w, K // 2] - x0) / span, "py": (wy[w, K // 2] - y0) / span, "qx": (x1 - x0) / span, "qy": (y1 - y0) / span, "span": np.log2(1 + span)}
+            out.append({"rep": rep[r[w]], "hash": final(f, g, cu2, cv2), "turned": turned, "at": start[w] - begin[r[w]], "of": counts[r[w]], "look": _pack(look)})
+    columns = {c: np.concatenate([o[c] for o in out]) for c in out[0]}
+    return pd.DataFrame(columns | {"hash": columns["hash"].view(np.int64), "at": columns["at"].astype(np.int32), "of": columns["of"].astype(np.int32)})
+
+
+def _gaps(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of a's points to b's nearest, which those are, and distances of b's points to a's nearest, for padded
+    pairs. Distances beyond ``reach`` may come as infinite: a long pair is swept in blocks along x, so that neither its
+    memory nor, for ink that is spread out, its time grows with the product of its points."""
+    if a.shape[0] > 1 or a.shape[1] * b.shape[1] <= 4_000_000:
+        both = (np.arange(a.shape[1]) < na[:, None])[:, :, None] & (np.arange(b.shape[1]) < nb[:, None])[:, None, :]
+        gap = np.where(both, np.abs(a[:, :, None] - b[:, None, :]), np.inf)
+        near = gap.argmin(2)
+        return np.take_along_axis(gap, near[:, :, None], 2)[:, :, 0], near, gap.min(1)
+    to_b, near, to_a = np.full(a.shape[1], np.inf), np.zeros(a.shape[1], np.int64), np.full(b.shape[1], np.inf)
+    order_a, order_b = np.argsort(a[0].real, kind="stable"), np.argsort(b[0].real, kind="stable")
+    along = b[0].real[order_b]
+    for i in range(0, len(order_a), 512):
+        block = order_a[i : i + 512]
+        p = a[0][block]
+        lo, hi = np.searchsorted(along, p[0].real - reach), np.searchsorted(along, p[-1].real + reach, side="right")
+        for j in range(lo, hi, 4096):
+            other = order_b[j : min(j + 4096, hi)]
+            gap = np.abs(p[:, None] - b[0][other][None])
+            best = gap.argmin(1)
+            least = gap[np.arange(len(block)), best]
+            closer = least < to_b[block]
+            to_b[block[closer]], near[block[closer]] = least[closer], other[best[closer]]
+            to_a[other] = np.minimum(to_a[other], gap.min(0))
+    return to_b[None], near[None], to_a[None]
+
+
+def covered(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, start: tuple[np.ndarray, np.ndarray, np.ndarray], fitting: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Extend pairs from a first scale and shift to all points: coverage of a by b and of b by a.
 
     ``a`` and ``b`` are padded complex points, ``na`` and ``nb`` their numbers, ``start`` (scale, shift, size) such that
-    a is about scale * b + shift. The fit is renewed over the points that agree, then agreement is counted.
+    a is about scale * b + shift. The fit is renewed over the points that agree, then agreement is counted. Without
+    ``fitting`` the first scale and shift stand, and points agree within the tolerance however small the ink is.
     """
     scale, shift, size = start
-    ma, mb = np.arange(a.shape[1])[None] < na[:, None], np.arange(b.shape[1])[None] < nb[:, None]
-    both = ma[:, :, None] & mb[:, None, :]
-    for slack in (4.0, 1.5, 1.0):
-        moved = scale[:, None] * b + shift[:, None]
-        gap = np.where(both, np.abs(a[:, :, None] - moved[:, None, :]), np.inf)
-        tol = slack * (TOLERANCE + PART * size)
-        near = gap.argmin(2)
-        dist = np.take_along_axis(gap, near[:, :, None], 2)[:, :, 0]
-        hit = dist <= tol[:, None]
+    inside = np.arange(b.shape[1])[None] < nb[:, None]
+    tol = TOLERANCE + PART * size
+    if fitting:
+        tol = np.minimum(tol, MOST * size)
+    for slack in (4.0, 1.5, 1.0) if fitting else (1.0,):
+        reach = slack * tol
+        to_b, near, to_a = _gaps(a, scale[:, None] * b + shift[:, None], na, nb, float(reach.max()))
+        hit = to_b <= reach[:, None]
         if slack == 1.0:
             break
         w = hit.astype(np.float64)
@@ -280,9 +322,7 @@ def covered(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, start:
         good = (w.sum(1) >= 2) & (power > 1e-6) & (fitted > 0)
         scale = np.where(good, fitted, scale)
         shift = np.where(good, am - fitted * qm, shift)
-    of_a = hit.sum(1) / na
-    of_b = ((gap.min(1) <= tol[:, None]) & mb).sum(1) / nb
-    return of_a, of_b
+    return hit.sum(1) / na, ((to_a <= tol[:, None]) & inside).sum(1) / nb
 
 
 class _Inks:
@@ -290,139 +330,200 @@ class _Inks:
 
     def __init__(self, batch: pa.RecordBatch, side: str):
         x, counts = _flat(batch.column(f"xs_{side}"))
-        self.x, self.y, self.counts = _moving(*_sound(x.astype(float), _flat(batch.column(f"ys_{side}"))[0].astype(float), counts))
+        self.x, self.y, self.counts = _clean(x, _flat(batch.column(f"ys_{side}"))[0], counts)
         self.begin = np.r_[0, np.cumsum(self.counts)[:-1]].astype(np.int64)
+        box, off_axis = _frames(self.x, self.y, self.counts)
+        self.size = np.hypot(*(box[:, 2:] - box[:, :2]).T)
+        self.shaped = _has_shape(self.counts, off_axis)
 
     def padded(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.counts[rows]
         at = _ranges(self.begin[rows], n)
-        out = np.zeros((len(rows), max(int(n.max()), 1)), complex)
+        out = np.zeros((len(rows), int(n.max())), complex)
         out[np.repeat(np.arange(len(rows)), n), _ranges(np.zeros(len(rows), np.int64), n)] = self.x[at] + 1j * self.y[at]
         return out, n
 
 
 def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Align candidate pairs ``(rep_a, rep_b, seeds, at_a, at_b, turned, xs_a, ys_a, xs_b, ys_b)``; report their coverage."""
+    """Align candidate pairs ``(rep_a, rep_b, seeds, at_a, at_b, to_a, to_b, turned, xs_a, ys_a, xs_b, ys_b)``.
+
+    ``at`` and ``to`` are the places of a chain's first and last window on both sides; ink of which one side has no
+    shape of its own is aligned as recorded. The result has both coverages.
+    """
     for whole in batches:
         if not whole.num_rows:
             continue
-        col = {c: whole.column(c).to_numpy(zero_copy_only=False) for c in ("rep_a", "rep_b", "seeds", "at_a", "at_b", "turned")}
+        col = {c: whole.column(c).to_numpy(zero_copy_only=False) for c in ("rep_a", "rep_b", "seeds", "at_a", "at_b", "to_a", "to_b", "turned")}
         side_a, side_b = _Inks(whole, "a"), _Inks(whole, "b")
         longest = np.maximum(side_a.counts, side_b.counts)
-        order = np.argsort(longest, kind="stable")
+        fitting = side_a.shaped & side_b.shaped & (col["at_a"] != RECORDED)
+        order = np.lexsort((longest, fitting))
         i = 0
         while i < len(order):  # pairs of like length share a padded block of bounded size
             j = min(len(order), i + 1000)
-            while j > i + 1 and (j - i) * longest[order[j - 1]] ** 2 > 4e6:
+            while j > i + 1 and ((j - i) * longest[order[j - 1]] ** 2 > 4e6 or fitting[order[j - 1]] != fitting[order[i]]):
                 j = i + (j - i) // 2
             rows = order[i:j]
             i = j
             (a, na), (b, nb) = side_a.padded(rows), side_b.padded(rows)  # seeds only come from drawings with sound points
-            k = int(np.minimum(K + 1, np.minimum(na, nb)).max())
-            step = np.arange(k)
-            at_a, at_b = col["at_a"][rows].astype(np.int64), col["at_b"][rows].astype(np.int64)
-            ia = np.clip(at_a[:, None] + step, 0, na[:, None] - 1)
-            ib = np.where(col["turned"][rows].astype(bool)[:, None], at_b[:, None] + (k - 1) - step, at_b[:, None] + step)
-            ib = np.clip(ib, 0, nb[:, None] - 1)
-            wa, wb = np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1)
-            am, bm = wa.mean(1), wb.mean(1)
-            power = (np.abs(wb - bm[:, None]) ** 2).sum(1)
-            scale = (np.conj(wb - bm[:, None]) * (wa - am[:, None])).sum(1).real / np.maximum(power, 1e-9)
-            scale = np.where((power > 1e-6) & (scale > 0), scale, 1.0)
-            inside = np.arange(a.shape[1])[None] < na[:, None]
-            spread = [np.where(inside, v, -np.inf).max(1) - np.where(inside, v, np.inf).min(1) for v in (a.real, a.imag)]
-            of_a, of_b = covered(a, b, na, nb, (scale, am - scale * bm, np.hypot(*spread)))
+            scale, shift = np.ones(len(rows)), np.zeros(len(rows), complex)
+            if fitting[rows[0]]:
+                step = np.arange(K + 1)
+                turned = col["turned"][rows].astype(bool)[:, None]
+                place = {c: col[c][rows].astype(np.int64)[:, None] for c in ("at_a", "at_b", "to_a", "to_b")}
+                ia = np.concatenate([place["at_a"] + step, place["to_a"] + step], 1)
+                ib = np.concatenate([place[c] + np.where(turned, K - step, step) for c in ("at_b", "to_b")], 1)
+                wa, wb = np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1)
+                am, bm = wa.mean(1), wb.mean(1)
+                power = (np.abs(wb - bm[:, None]) ** 2).sum(1)
+                scale = (np.conj(wb - bm[:, None]) * (wa - am[:, None])).sum(1).real / np.maximum(power, 1e-9)
+                scale = np.where((power > 1e-6) & (scale > 0), scale, 1.0)
+                shift = am - scale * bm
+            of_a, of_b = covered(a, b, na, nb, (scale, shift, side_a.size[rows]), bool(fitting[rows[0]]))
             yield _batch({"rep_a": (col["rep_a"][rows], pa.int64()), "rep_b": (col["rep_b"][rows], pa.int64()), "covered_a": (of_a, pa.float64()), "covered_b": (of_b, pa.float64()), "seeds": (col["seeds"][rows], pa.int64())})
 
 
-def cross_split_pairs(rows: DataFrame) -> DataFrame:
-    """Drawings of evaluation splits that also occur in the training split: ``(train_row, row, kind, coverage)``.
-
-    ``rows``: ``(row_id, split, record, strokes)``, split being train, validation, test or null (in no split), record
-    the record's identity within its source or null, strokes null for unknown ink. ``kind`` is ``record`` (same
-    identity), ``ink`` (same points) or ``near`` (aligned within tolerance, both drawings covered to COVERED); coverage
-    is the smaller of both drawings' coverages, 1 for the first two kinds. Every pair comes once, as its first kind.
-    Ink without points is like no other ink. Exact copies are aligned once and share their pairs.
-    """
-    spark = rows.sparkSession
-    xs, ys, lens = flat_points(F.col("strokes"))
-    ours = rows.where(F.col("split").isin("train", "validation", "test")).select("row_id", (F.col("split") == "train").alias("train"), "record", xs.alias("xs"), ys.alias("ys"), lens.alias("lens"))
-    base = Stored(ours).df
-    train, held = base.where("train"), base.where("NOT train")
-
-    by_record = train.where("record IS NOT NULL").select(F.col("row_id").alias("train_row"), "record").join(held.where("record IS NOT NULL").select("row_id", "record"), "record").select("train_row", "row_id", F.lit(0).alias("k"), F.lit(1.0).alias("coverage"))
-
-    inked = base.where(F.exists(F.arrays_zip("xs", "ys"), lambda p: (F.abs(p["xs"]) < 1e9) & (F.abs(p["ys"]) < 1e9)))
-    keyed = Stored(inked.select("row_id", "train", F.concat_ws(":", F.xxhash64("xs", "ys"), F.xxhash64("ys", "xs"), F.size("xs")).alias("ink"))).df
-    # Exact copies of ink collapse to one representative on each side.
-    reps = keyed.groupBy("ink", "train").agg(F.min("row_id").alias("rep"))
-    member_of = Stored(lookup(keyed.select("row_id", "train", F.concat_ws(":", "ink", F.col("train").cast("string")).alias("side")), reps.select(F.concat_ws(":", "ink", F.col("train").cast("string")).alias("side"), "rep"), "side", "inner").select("row_id", "train", "rep")).df
-    reps = Stored(reps).df
-    a, b = reps.where("train").select("ink", F.col("rep").alias("rep_a")), reps.where("NOT train").select("ink", F.col("rep").alias("rep_b"))
-    same_ink = a.join(b, "ink").select("rep_a", "rep_b", F.lit(1).alias("k"), F.lit(1.0).alias("coverage"))
-
-    stored = [Stored(inked.join(member_of.where("row_id = rep").select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "xs", "ys", "lens"))]
-    shapes = stored[0].df
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _seeded(probing: bool):
+    kinds = {"rep": pa.int64(), "hash": pa.int64(), "turned": pa.bool_(), "at": pa.int32(), "of": pa.int32(), "look": pa.int64()}
 
-    kinds = {"rep": pa.int64(), "hash": pa.int64(), "turned": pa.bool_(), "at": pa.int32(), "of": pa.int32(), **dict.fromkeys(PLACE, pa.float32())}
-
-    def seeded(probing: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 5000):
-                    part = batch.slice(i, 5000)
-                    x, counts = _flat(part.column("xs"))
-                    lens, strokes = _flat(part.column("lens"))
-                    x, y, counts, lens = _sound(x.astype(float), _flat(part.column("ys"))[0].astype(float), counts, lens.astype(np.int64))
-                    some = counts > 0
-                    found = seeds_of(part.column("rep").to_numpy()[some], x, y, counts[some], lens[np.repeat(some, strokes)], strokes[some], probing)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                part = batch.slice(i, 5000)
+                x, counts = _flat(part.column("xs"))
+                lens = part.column("lens").flatten().to_numpy(zero_copy_only=False)
+                x, y, counts, stroke = _clean(x, _flat(part.column("ys"))[0], counts, np.repeat(np.arange(len(lens)), lens))
+                some = counts > 0
+                if some.any():
+                    found = seeds_of(part.column("rep").to_numpy()[some], x, y, counts[some], stroke, probing)
                     yield _batch({c: (found[c].to_numpy(), t) for c, t in kinds.items()})
 
-        return run
+    return run
+
+
+def _chains(shapes: DataFrame, tasks: int) -> DataFrame:
+    """Pairs of representatives whose seeds meet, with their best chain.
 
-    cols = ["rep", "xs", "ys", "lens"]
-    told = Stored(shapes.where("train").select(*cols).repartition(tasks).mapInArrow(seeded(False), SEEDS))
-    asked = Stored(shapes.where("NOT train").select(*cols).repartition(tasks).mapInArrow(seeded(True), SEEDS))
-    l, r = told.df.alias("l"), asked.df.alias("r")
+    Seeds go straight into the shuffle of their join; a hash that very many windows share makes a large partition, which
+    the adaptive skew join splits over tasks by its map outputs.
+    """
+    told, asked = (shapes.where(F.col("train") == train).select("rep", "xs", "ys", "lens").repartition(tasks).mapInArrow(_seeded(not train), SEEDS) for train in (True, False))
+    l, r = told.alias("l"), asked.alias("r")
     # Drawings differ by a few points at most when 85 % of both agree.
     like = (F.col("l.of") >= COVERED * F.col("r.of") - 1) & (F.col("r.of") >= COVERED * F.col("l.of") - 1)
-    slack = F.lit(SLACK) + F.lit(STEP) / F.least("l.of", "r.of")
-    # A short drawing's only seed has span 0 and no shape to compare.
-    drift = F.lit(DRIFT) + F.lit(2 * JITTER) / F.greatest(F.least("l.span", "r.span"), F.lit(1.0))
-    for c in PLACE[:-1]:
-        like = like & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= (slack if c in "uv" else drift))
-    meets = l.join(r, (F.col("l.hash") == F.col("r.hash")) & like).select(
-        F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"), F.col("l.at").alias("at_a"), (F.col("r.at") % (1 << 16)).alias("at_b"), F.col("r.at").bitwiseAND(1 << 16).alias("order"), (F.col("l.turned") != F.col("r.turned")).alias("turned")
+    ours, theirs = _unpacked(F.col("l.look")), _unpacked(F.col("r.look"))
+    slack = F.lit(SLACK + LOOK["u"][1]) + F.lit(STEP) / F.least("l.of", "r.of")
+    drift = F.lit(DRIFT) + F.lit(2 * JITTER) / F.greatest(F.pow(F.lit(2.0), F.least(ours["span"], theirs["span"])) - 1, F.lit(1.0))
+    for c in ("qx", "qy", "px", "py", "u", "v"):
+        like = like & (F.abs(ours[c] - theirs[c]) <= (slack if c in "uv" else drift))
+    meets = l.join(r, (F.col("l.hash") == F.col("r.hash")) & ((F.col("l.at") < 0) == (F.col("r.at") < 0)) & like).select(
+        F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"), F.col("l.at").alias("at_a"), F.col("r.at").alias("at_b"), (F.col("l.turned") != F.col("r.turned")).alias("turned")
     )
     # Seeds of a pair on one line: equal differences of places, equal sums where one side is read backwards.
     line = F.when(F.col("turned"), F.col("at_a") + F.col("at_b")).otherwise(F.col("at_a") - F.col("at_b"))
-    chains = meets.groupBy("rep_a", "rep_b", "order", "turned", line.alias("line")).agg(F.count(F.lit(1)).alias("seeds"), F.min(F.struct("at_a", "at_b")).alias("at"))
-    best = chains.groupBy("rep_a", "rep_b").agg(F.max(F.struct("seeds", "at", "turned", "order")).alias("c"))
-    stored.append(Stored(best.select("rep_a", "rep_b", F.col("c.seeds").alias("seeds"), F.col("c.at.at_a").alias("at_a"), F.col("c.at.at_b").alias("at_b"), F.col("c.turned").alias("turned"), F.col("c.order").alias("order")).join(same_ink.select("rep_a", "rep_b"), ["rep_a", "rep_b"], "left_anti")))
-    told.drop()
-    asked.drop()
-    pairs = stored[1].df
-    ink_a = shapes.where("train").select(F.col("rep").alias("rep_a"), F.col("xs").alias("xs_a"), F.col("ys").alias("ys_a"))
-    ink_b = shapes.where("NOT train").select(F.col("rep").alias("rep_b"), F.col("xs").alias("xs_b"), F.col("ys").alias("ys_b"), F.col("lens").alias("lens_b"))
-    # Strokes read in reverse order are put in that order.
-    ends = F.transform(F.sequence(F.lit(1), F.size("lens_b")), lambda i: F.aggregate(F.slice("lens_b", 1, i), F.lit(0), lambda s, v: s + v))
-
-    def in_order(c: str) -> Column:
-        turned_over = F.flatten(F.reverse(F.transform(ends, lambda e, i: F.slice(c, e - F.element_at("lens_b", i + 1) + 1, F.element_at("lens_b", i + 1)))))
-        return F.when(F.col("order") > 0, turned_over).otherwise(F.col(c)).alias(c)
-
-    full = lookup(pairs, ink_b, "rep_b", "inner").join(ink_a, "rep_a").select("rep_a", "rep_b", "seeds", "at_a", "at_b", "turned", "xs_a", "ys_a", in_order("xs_b"), in_order("ys_b"))
-    checked = full.repartition(tasks).mapInArrow(align, "rep_a bigint, rep_b bigint, covered_a double, covered_b double, seeds bigint")
-    near = checked.where((F.col("covered_a") >= COVERED) & (F.col("covered_b") >= COVERED)).select("rep_a", "rep_b", F.lit(2).alias("k"), F.least("covered_a", "covered_b").alias("coverage"))
-
-    linked = Stored(same_ink.unionByName(near)).df
-    for table in stored:
+    place = F.struct("at_a", "at_b")
+    chains = meets.repartition("rep_a", "rep_b").groupBy("rep_a", "rep_b", "turned", line.alias("line")).agg(F.count(F.lit(1)).alias("seeds"), F.min(place).alias("at"), F.max(place).alias("to"))
+    # A chain of windows tells more than the box.
+    best = chains.groupBy("rep_a", "rep_b").agg(F.max(F.struct((F.col("at.at_a") >= 0).alias("w"), "seeds", "at", "to", "turned")).alias("c"))
+    return best.select("rep_a", "rep_b", F.col("c.seeds").alias("seeds"), "c.at.at_a", "c.at.at_b", F.col("c.to.at_a").alias("to_a"), F.col("c.to.at_b").alias("to_b"), "c.turned")
+
+
+def cross_split_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of drawings of evaluation splits that also occur in the training split: ``(links, members)``.
+
+    ``rows``: ``(row_id, split, record, strokes)``, split being train, validation, test or null (in no split), record
+    the record's identity within its source or null, strokes null for unknown ink. ``members`` ``(by, train, rep,
+    row_id)`` tells the class of each row on its side: ``by`` is ``record`` (same identity, only where both sides have
+    it) or ``ink`` (same points), ``rep`` the class's smallest row. ``links`` ``(by, rep_a, rep_b, kind, coverage)``
+    links a class of the training side to one of the evaluation side: ``kind`` is ``record``, ``ink`` (same points) or
+    ``near`` (aligned within tolerance, both drawings covered to COVERED); coverage is the smaller of both drawings'
+    coverages, 1 for the first two kinds. Ink without points is like no other ink. Copies are never expanded here.
+    """
+    spark = rows.sparkSession
+    ours = rows.where(F.col("split").isin("train", "validation", "test")).withColumn("train", F.col("split") == "train")
+    xs, ys, lens = flat_points(F.col("strokes"))
+    flat = ours.select("row_id", "train", "record", xs.alias("xs"), ys.alias("ys"), lens.alias("lens"))
+    bounded = (F.array_max("xs") < 1e9) & (F.array_min("xs") > -1e9) & (F.array_max("ys") < 1e9) & (F.array_min("ys") > -1e9)
+    some = F.exists(F.arrays_zip("xs", "ys"), lambda p: (F.abs(p["xs"]) < 1e9) & (F.abs(p["ys"]) < 1e9))
+    inked = F.coalesce(bounded | some, F.lit(False))
+    code = F.concat_ws(":", F.xxhash64("xs", "ys"), F.xxhash64("ys", "xs"), F.size("xs"))
+    base = Stored(flat.select("row_id", "train", "record", F.when(inked, code).alias("ink")))
+
+    def classes(by: str) -> tuple[Stored, Stored]:
+        """The classes of a key, one row ``(key, rep_a, rep_b)`` for each, and the members ``(row_id, train, rep)``."""
+        keyed = base.df.where(F.col(by).isNotNull()).select("row_id", "train", F.col(by).alias("key"))
+        first = lambda train: F.min(F.when(F.col("train") == train, F.col("row_id")))
+        reps = keyed.groupBy("key").agg(first(True).alias("rep_a"), first(False).alias("rep_b"))
+        reps = Stored(reps if by == "ink" else reps.where("rep_a IS NOT NULL AND rep_b IS NOT NULL"))
+        members = lookup(keyed, reps.df, "key", "inner").select("row_id", "train", F.when(F.col("train"), F.col("rep_a")).otherwise(F.col("rep_b")).alias("rep"))
+        return reps, Stored(members)
+
+    records, of_record = classes("record")
+    inks, of_ink = classes("ink")
+    base.drop()
+    sides = inks.df.select(F.explode(F.array("rep_a", "rep_b")).alias("row_id")).where("row_id IS NOT NULL")
+    shapes = Stored(flat.join(sides, "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "xs", "ys", "lens"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    same = inks.df.where("rep_a IS NOT NULL AND rep_b IS NOT NULL").select("rep_a", "rep_b")
+    pairs = Stored(_chains(shapes.df, tasks).join(same, ["rep_a", "rep_b"], "left_anti"))
+    ink_a = shapes.df.where("train").select(F.col("rep").alias("rep_a"), F.col("xs").alias("xs_a"), F.col("ys").alias("ys_a"))
+    ink_b = shapes.df.where("NOT train").select(F.col("rep").alias("rep_b"), F.col("xs").alias("xs_b"), F.col("ys").alias("ys_b"))
+    full = pairs.df.join(ink_a, "rep_a").join(ink_b, "rep_b").select("rep_a", "rep_b", "seeds", "at_a", "at_b", "to_a", "to_b", "turned", "xs_a", "ys_a", "xs_b", "ys_b")
+    checked = full.mapInArrow(align, "rep_a bigint, rep_b bigint, covered_a double, covered_b double, seeds bigint")
+    near = checked.where((F.col("covered_a") >= COVERED) & (F.col("covered_b") >= COVERED))
+    one = F.lit(1.0)
+    links = Stored(
+        near.select(F.lit("ink").alias("by"), "rep_a", "rep_b", F.lit("near").alias("kind"), F.least("covered_a", "covered_b").alias("coverage"))
+        .unionByName(same.select(F.lit("ink").alias("by"), "rep_a", "rep_b", F.lit("ink").alias("kind"), one.alias("coverage")))
+        .unionByName(records.df.select(F.lit("record").alias("by"), "rep_a", "rep_b", F.lit("record").alias("kind"), one.alias("coverage")))
+    )
+    for table in (pairs, shapes, inks, records):
         table.drop()
-    of_a = member_of.where("train").select(F.col("rep").alias("rep_a"), F.col("row_id").alias("train_row"))
-    of_b = member_of.where("NOT train").select(F.col("rep").alias("rep_b"), "row_id")
-    by_ink = linked.join(of_b, "rep_b").join(of_a, "rep_a").select("train_row", "row_id", "k", "coverage")
-    first = by_record.unionByName(by_ink).groupBy("train_row", "row_id").agg(F.min(F.struct("k", (-F.col("coverage")).alias("c"))).alias("b"))
-    kinds = F.element_at(F.array(F.lit("record"), F.lit("ink"), F.lit("near")), F.col("b.k") + 1)
-    return first.select("train_row", "row_id", kinds.alias("kind"), (-F.col("b.c")).alias("coverage"))
+    members = [table.df.select(F.lit(by).alias("by"), "train", "rep", "row_id") for by, table in (("record", of_record), ("ink", of_ink))]
+    return links.df, members[0].unionByName(members[1])
+
+
+#: The kinds of evidence, surest first.
+_SURENESS = ("record", "ink", "near")
+
+
+def _rank(kind: str) -> Column:
+    return F.array_position(F.array(*[F.lit(k) for k in _SURENESS]), F.col(kind))
+
+
+def _best(k: Column) -> list[Column]:
+    return [F.element_at(F.array(*[F.lit(s) for s in _SURENESS]), k["k"].cast("int")).alias("kind"), (-k["c"]).alias("coverage")]
 
+
+def overlapping_rows(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Each evaluation row that also occurs in training, with its surest evidence: ``(row_id, kind, coverage)``.
+
+    Classes are reduced to their best link before they meet their members, so nothing is expanded into pairs.
+    """
+    best = F.min(F.struct(_rank("kind").alias("k"), (-F.col("coverage")).alias("c"))).alias("b")
+    of_class = links.groupBy("by", "rep_b").agg(best)
+    found = members.where("NOT train").join(of_class.withColumnRenamed("rep_b", "rep"), ["by", "rep"])
+    return found.groupBy("row_id").agg(F.min("b").alias("b")).select("row_id", *_best(F.col("b")))
+
+
+def cross_split_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of a training and an evaluation row that are the same drawing: ``(train_row, row_id, kind, coverage)``.
+
+    The links of ``cross_split_links``, expanded; a pair comes once, with its surest kind. A class of more than
+    BLOCK_ROWS rows is cut into blocks, and the blocks of a link meet in tasks of their own.
+    """
+    links, members = cross_split_links(rows)
+    sizes = members.groupBy("by", "train", "rep").agg(F.count(F.lit(1)).alias("n"))
+    blocks = Stored(sizes.select("by", "train", "rep", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))).df
+    # Only classes of several blocks need the number of blocks beside their members.
+    large = blocks.where("blocks > 1").select(F.concat_ws(":", "by", "train", "rep").alias("class"), "blocks")
+    placed = lookup(Stored(members.withColumn("class", F.concat_ws(":", "by", "train", "rep"))).df, large, "class").select("by", "train", "rep", "row_id", F.pmod(F.xxhash64("row_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    out = links
+    for side, train in (("a", True), ("b", False)):
+        of = blocks.where(F.col("train") == train).select("by", F.col("rep").alias(f"rep_{side}"), "blocks")
+        out = out.join(of, ["by", f"rep_{side}"]).withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    for side, train, name in (("a", True, "train_row"), ("b", False, "row_id")):
+        rows_of = placed.where(F.col("train") == train).select("by", F.col("rep").alias(f"rep_{side}"), F.col("block").alias(f"block_{side}"), F.col("row_id").alias(name))
+        out = out.join(rows_of, ["by", f"rep_{side}", f"block_{side}"])
+    first = out.groupBy("train_row", "row_id").agg(F.min(F.struct(_rank("kind").alias("k"), (-F.col("coverage")).alias("c"))).alias("b"))
+    return first.select("train_row", "row_id", *_best(F.col("b")))

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkatlas.functions.names import read_name, read_split
-from inkatlas.llm.overlaps import cross_split_pairs
-from inkatlas.operators.skew import lookup
+from inkatlas.llm.overlaps import cross_split_links, cross_split_pairs, overlapping_rows
 from inkatlas.sources.tables import table
-from inkatlas.storage import Stored
 
 
 def _rows(spark: SparkSession, directory: str) -> DataFrame:
@@ -18,26 +16,23 @@ def _rows(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "drawings").select("row_id", "dataset", read_split(F.col("split_name")).alias("split"), F.when(known, record).alias("record"), "strokes")
 
 
-def _pairs(spark: SparkSession, directory: str) -> DataFrame:
-    return cross_split_pairs(_rows(spark, directory).select("row_id", "split", "record", "strokes"))
-
-
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of a training row and an evaluation row that are the same drawing."""
-    return _pairs(spark, directory).select(F.least("train_row", "row_id").alias("row_a"), F.greatest("train_row", "row_id").alias("row_b"))
+    pairs = cross_split_pairs(_rows(spark, directory).drop("dataset"))
+    return pairs.select(F.least("train_row", "row_id").alias("row_a"), F.greatest("train_row", "row_id").alias("row_b"))
 
 
 def p4_report(spark: SparkSession, directory: str) -> DataFrame:
     """Per evaluation split and dataset: rows, rows that also occur in the training split, by the surest kind of
     evidence, their share, and the mean coverage of those found by alignment."""
-    rows = Stored(_rows(spark, directory).where("split <> 'train'").select("row_id", "split", "dataset")).df
-    best = _pairs(spark, directory).groupBy("row_id").agg(F.min(F.struct(F.when(F.col("kind") == "record", 0).when(F.col("kind") == "ink", 1).otherwise(2).alias("k"), (-F.col("coverage")).alias("c"))).alias("b"))
-    known = lookup(rows, Stored(best).df, "row_id")
-    kind = F.col("b.k")
+    rows = _rows(spark, directory).where("split <> 'train'").select("row_id", "split", "dataset")
+    found = overlapping_rows(*cross_split_links(_rows(spark, directory).drop("dataset")))
+    known = rows.join(found, "row_id", "left")
+    near = F.col("kind") == "near"
     return known.groupBy(F.col("split").alias("split_name"), "dataset").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("b").alias("overlapping"), (F.count("b") / F.count(F.lit(1))).alias("share"),
-        F.count_if(kind == 0).alias("by_record"), F.count_if(kind == 1).alias("by_ink"), F.count_if(kind == 2).alias("by_alignment"),
-        F.avg(F.when(kind == 2, -F.col("b.c"))).alias("mean_coverage"),
+        F.count(F.lit(1)).alias("rows"), F.count("kind").alias("overlapping"), (F.count("kind") / F.count(F.lit(1))).alias("share"),
+        F.count_if(F.col("kind") == "record").alias("by_record"), F.count_if(F.col("kind") == "ink").alias("by_ink"), F.count_if(near).alias("by_alignment"),
+        F.avg(F.when(near, F.col("coverage"))).alias("mean_coverage"),
     )
 
 

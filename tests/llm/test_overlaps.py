@@ -66,7 +66,7 @@ def found(spark):
             kinds[i] = name
             if name != "other":
                 want.add((i, i + 1))
-    rows += [row(50001, "train", None, "d/A#1#"), row(50002, "test", [[]], "d/A#1#"), row(50003, "test", [], None), row(50004, "validation", [[(5, 5)]], None), row(50005, "train", [[(9, 9)]], None), row(50006, "train", [[(1, 1), (1, 1)]], "d/A#2#")]
+    rows += [row(50001, "train", None, "d/A#1#"), row(50002, "test", [[]], "d/A#1#"), row(50003, "test", [], None), row(50004, "validation", [[(5, 5)]], None), row(50005, "train", [[(6, 7)]], None), row(50006, "train", [[(3, 4), (3, 4)]], "d/A#2#"), row(50007, "train", [[(9, 30)]], None)]
     want |= {(50001, 50002), (50005, 50004), (50006, 50004)}
     copies = ink(rng)
     rows += [row(60000 + i, "train" if i % 2 else "test", copies) for i in range(30)]
@@ -108,3 +108,91 @@ def test_coverage_after_scale_and_shift():
     assert of_a[0] == of_b[0] == 1
     of_a, _ = O.covered(a, b, n, n, (np.array([0.5]), np.array([30 + 5j]), np.array([900.0])))
     assert of_a[0] < 1
+
+
+def pairs_of(spark, rows):
+    return {(r["train_row"], r["row_id"]) for r in O.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def near_as_recorded(a, b):
+    """Brute force: every point of either lies within the tolerance of one of the other."""
+    a, b = (np.array([p for k in s for p in k], float) for s in (a, b))
+    tol = O.TOLERANCE + O.PART * np.hypot(*(a.max(0) - a.min(0)))
+    gap = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
+    return (gap.min(1) <= tol).mean() >= O.COVERED and (gap.min(0) <= tol).mean() >= O.COVERED
+
+
+def test_plain_ink_is_compared_as_recorded(spark):
+    rng = random.Random(8)
+    dots = [[[(rng.uniform(0, 100), rng.uniform(0, 100))]] for _ in range(100)]
+    bars = [[[(x, y), (x + rng.uniform(290, 690), y + rng.uniform(-4, 4))]] for x, y in ((rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(100))]
+    level = []  # many points on one line are a bar too
+    for _ in range(30):
+        x, y, k = rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(300, 600)
+        level.append([[(x + k * i / 11, y + rng.uniform(-1, 1)) for i in range(12)]])
+    short = [ink(rng, 1) for _ in range(20)]
+    short = [[s[0][:5]] for s in short]
+    short += [[[(x + rng.uniform(-1, 1), y + rng.uniform(-1, 1)) for x, y in s[0]]] for s in short]
+    every = [("dot", s) for s in dots] + [("bar", s) for s in bars] + [("level", s) for s in level] + [("short", s) for s in short]
+    rows = [row(i, "train" if i % 2 else "test", s) for i, (_, s) in enumerate(every)]
+    # The 60 : 40 dots and bars of different places and lengths make no pairs but those that lie within tolerance.
+    got = pairs_of(spark, rows)
+    want = {(i, j) for i, (k, a) in enumerate(every) for j, (m, b) in enumerate(every) if i % 2 and not j % 2 and k == m and k != "short" and near_as_recorded(a, b)}
+    assert len(want) < 100
+    assert {p for p in got if every[p[0]][0] != "short"} == want
+    rows = [row(i, "train" if i < 20 else "test", s) for i, s in enumerate(short)]
+    assert pairs_of(spark, rows) >= {(i, i + 20) for i in range(20)}
+
+
+def test_very_long_ink_and_its_copy(spark):
+    rng = random.Random(3)
+    way, x, y, long = 0.0, 500.0, 500.0, []
+    for _ in range(70_000):
+        way += rng.gauss(0, 0.3)
+        x, y = min(max(x + 3 * math.cos(way), 0), 1000), min(max(y + 3 * math.sin(way), 0), 1000)
+        long.append((x, y))
+    copy = [(0.9 * x + 40, 0.9 * y + 7) for x, y in long]
+    other = [(1000 - x, y) for x, y in long[:35_000]]
+    assert pairs_of(spark, [row(1, "train", [long]), row(2, "test", [copy]), row(3, "test", [other])]) == {(1, 2)}
+
+
+def test_copies_are_not_expanded_before_the_pairs_are_asked_for(spark):
+    rng = random.Random(9)
+    one, two = ink(rng), ink(rng)
+    rows = [row(i, "train" if i % 2 else "test", one) for i in range(10_000)] + [row(20_000 + i, "train", jitter(rng, one)) for i in range(3)] + [row(30_000, "test", two)]
+    links, members = O.cross_split_links(spark.createDataFrame(rows, SCHEMA))
+    assert links.count() == 4 and members.count() == len(rows)
+    found = {r["row_id"]: r["kind"] for r in O.overlapping_rows(links, members).collect()}
+    assert found == {i: "ink" for i in range(0, 10_000, 2)}
+
+
+def test_blocks_of_large_classes_make_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_ROWS", 3)
+    s = ink(random.Random(2))
+    rows = [row(i, "train" if i % 3 else "test", s, "d/A#1#" if i < 9 else None) for i in range(30)]
+    got = [(r["train_row"], r["row_id"]) for r in O.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) == 20 * 10
+
+
+def test_rolling_hash_and_winnowing_equal_their_definitions():
+    rng = np.random.default_rng(0)
+    v = rng.integers(0, 20, 40)
+    b, i = O._BASE, O._INVERSE
+    want = [sum(int(v[s + j]) * pow(b, j, 1 << 64) for j in range(4)) % (1 << 64) for s in range(37)]
+    assert O.rolled(v, 4, b, i).tolist() == want and len(O.rolled(v[:3], 4, b, i)) == 0
+    h, run = rng.integers(0, 1000, 60).astype(np.uint64), np.repeat([0, 1, 2, 3], [2, 30, 1, 27])
+    kept = set()
+    for r in range(4):
+        at = np.flatnonzero(run == r)
+        kept |= {int(at[w + int(h[at[w : w + 3]].argmin())]) for w in range(max(1, len(at) - 2))}
+    assert O.winnowed(h, run, 3).tolist() == sorted(kept)
+
+
+def test_long_pairs_are_swept_to_the_same_distances():
+    rng = np.random.default_rng(1)
+    a, b = (rng.uniform(0, 1000, (1, 2500)) + 1j * rng.uniform(0, 1000, (1, 2500)) for _ in range(2))
+    n = np.array([2500])
+    to_b, near, to_a = O._gaps(a, b, n, n, 60.0)
+    gap = np.abs(a[0][:, None] - b[0][None])
+    assert np.allclose(np.minimum(to_b[0], 60), np.minimum(gap.min(1), 60)) and np.allclose(np.minimum(to_a[0], 60), np.minimum(gap.min(0), 60))
+    assert (near[0] == gap.argmin(1))[gap.min(1) <= 60].all()
