@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkatlas.functions.vectors import let
+
 
 def _foldings() -> tuple[str, str]:
     """One-to-one compatibility foldings of letters and digits to ASCII, derived from the Unicode database."""
@@ -36,10 +38,10 @@ def read_name(column: Column) -> Column:
     Letters are upper-cased, each run of digits becomes ``#value#`` without leading zeros, everything else is dropped.
     Null stays null; a name without letters or digits reads as the empty string.
     """
-    plain = F.when(column.rlike(r"^[\x00-\x7f]*$"), column).otherwise(F.translate(column, _SOURCE, _TARGET))
+    plain = F.when(F.octet_length(column) == F.length(column), column).otherwise(F.translate(column, _SOURCE, _TARGET))
     kept = F.regexp_replace(F.upper(plain), r"[^\p{L}\p{M}0-9]+", "|")
     numbered = F.regexp_replace(kept, r"0*([0-9]+)", "#$1#")
-    return F.regexp_replace(numbered, r"\|", "")
+    return F.replace(numbered, F.lit("|"), F.lit(""))
 
 
 #: Readings of person codes that name nobody.
@@ -48,8 +50,7 @@ NOBODY = ("", "NA", "NAN", "NONE", "NULL", "NIL", "NOBODY", "UNKNOWN", "UNK", "A
 
 def read_person(column: Column) -> Column:
     """The reading of a person code, null where the entry names nobody (see ``NOBODY``)."""
-    reading = read_name(column)
-    return F.when(~reading.isin(*NOBODY), reading)
+    return let(read_name(column), lambda reading: F.when(~reading.isin(*NOBODY), reading))
 
 
 #: Readings of split names and the split they mean.
@@ -62,8 +63,11 @@ SPLITS = {
 
 def read_split(column: Column) -> Column:
     """``train``, ``validation`` or ``test``; null for null and for any other entry."""
-    reading = read_name(column)
-    out = F.lit(None).cast("string")
-    for split, readings in SPLITS.items():
-        out = F.when(reading.isin(*readings), split).otherwise(out)
-    return out
+
+    def named(reading: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for split, readings in SPLITS.items():
+            out = F.when(reading.isin(*readings), split).otherwise(out)
+        return out
+
+    return let(read_name(column), named)
