@@ -18,10 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkatlas.functions.vectors import let
+from inkatlas.operators.parallel import spread
 from inkatlas.operators.skew import lookup
 from inkatlas.storage import Stored
 
@@ -42,9 +45,9 @@ CORNER = 12.0
 RECORDED = -1
 
 SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, look bigint"
-#: Bits of ``look`` and the value of one step: where the window lies in the box, its middle and last point as seen from
-#: its first in parts of its length, and the logarithm of its length.
-LOOK = {"u": (8, 1 / 255), "v": (8, 1 / 255), "px": (10, 2 / 1023), "py": (10, 2 / 1023), "qx": (10, 2 / 1023), "qy": (10, 2 / 1023), "span": (8, 1 / 12)}
+#: Bits of ``look``, the smallest value and that of one step: where the window lies in the box, its middle and last point
+#: as seen from its first in parts of its length, the logarithms of its length and of that over the box's longer side.
+LOOK = {"u": (6, 0.0, 1 / 63), "v": (6, 0.0, 1 / 63), **dict.fromkeys(("px", "py", "qx", "qy"), (10, -1.0, 2 / 1023)), "span": (6, 0.0, 1 / 4), "part": (6, -5.0, 1 / 8)}
 #: Seeds that meet agree in place to SLACK + STEP / points, as an extreme point may be missing, at most one step of the pen,
 SLACK, STEP = 0.05, 1.5
 #: and their windows in shape, to a part DRIFT of their length and a shift of JITTER units on either side.
@@ -56,11 +59,37 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def flat_points(strokes: Column) -> tuple[Column, Column, Column]:
-    """``xs``, ``ys`` and the stroke lengths of ink, as stored: points that are null or no numbers are left out later."""
-    clean = F.array_compact(strokes)
-    points = F.flatten(clean)
-    return points["x"], points["y"], F.transform(clean, lambda k: F.size(k))
+def packed_ink(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``(*keep, points, lens, inked)``: ink as bytes, which the JVM hashes, stores and sends without looking inside.
+
+    ``points`` holds x and y of every point in single precision, ``lens`` the number of points of each stroke; both are
+    null for null ink. Null strokes have no points, null coordinates become NaN. ``inked`` tells whether some point is a
+    pair of finite numbers. Rows whose first kept column is null are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(keep[0]).is_valid())
+            strokes = batch.column("strokes")
+            inner = strokes.flatten()
+            lens = inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            points = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float32) for c in inner.flatten().flatten()], 1)
+            first = np.r_[0, np.cumsum(strokes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+            begin = np.r_[0, np.cumsum(lens)].astype(np.int64)[first]
+            with np.errstate(invalid="ignore"):
+                good = np.r_[0, np.cumsum((np.abs(points) < 1e9).all(1))]
+            known = strokes.is_valid()
+
+            def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+                return pc.if_else(known, whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], blobs(points, 8 * begin), blobs(lens, 4 * first), pa.array(good[begin[1:]] > good[begin[:-1]])], names=[*keep, "points", "lens", "inked"])
+
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    flat = rows.select(*keep, F.col("strokes").cast("array<array<struct<x: float, y: float>>>").alias("strokes"))
+    return flat.mapInArrow(run, f"{kept}, points binary, lens binary, inked boolean")
 
 
 def _kept(ok: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -88,9 +117,19 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - np.r_[0, ends[:-1]], lens)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of a column of lists without nulls."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of bytes without nulls, and how many each row has."""
+    size = np.dtype(kind).itemsize
+    lens = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = column.buffers()[2]
+    begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 1]
+    return np.frombuffer(data, np.uint8)[int(begin[0]) : int(begin[0]) + int(lens.sum())].view(kind) if len(column) and data is not None else np.zeros(0, kind), lens // size
+
+
+def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``x``, ``y`` and the number of points of each row of a column of packed points."""
+    values, lens = _values(column, np.float32)
+    return values[::2].astype(float), values[1::2].astype(float), lens // 2
 
 
 def _batch(columns: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
@@ -153,17 +192,16 @@ def _has_shape(points: np.ndarray, off_axis: np.ndarray, slack: float = 1.0) ->
 
 def _pack(values: dict[str, np.ndarray]) -> np.ndarray:
     out = np.zeros(len(values["u"]), np.uint64)
-    for name, (bits, step) in LOOK.items():
-        least = -1.0 if name[0] in "pq" else 0.0
+    for name, (bits, least, step) in LOOK.items():
         code = np.clip(np.rint((values[name] - least) / step), 0, (1 << bits) - 1).astype(np.uint64)
         out = (out << np.uint64(bits)) | code
     return out.view(np.int64)
 
 
 def _unpacked(packed: Column) -> dict[str, Column]:
-    """The codes of ``look`` times their steps."""
+    """The values of ``look``, each less its smallest."""
     out, shift = {}, 64
-    for name, (bits, step) in LOOK.items():
+    for name, (bits, _, step) in LOOK.items():
         shift -= bits
         out[name] = F.shiftrightunsigned(packed, shift).bitwiseAND((1 << bits) - 1) * F.lit(step)
     return out
@@ -261,7 +299,7 @@ def seeds_of(rep: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray,
             span = length[start[w][:, None] + np.arange(K)].sum(1)
             x0, y0 = np.where(turned, wx[w, K], wx[w, 0]), np.where(turned, wy[w, K], wy[w, 0])
             x1, y1 = np.where(turned, wx[w, 0], wx[w, K]), np.where(turned, wy[w, 0], wy[w, K])
-            look = {"u": u[w], "v": v[w], "px": (wx[w, K // 2] - x0) / span, "py": (wy[w, K // 2] - y0) / span, "qx": (x1 - x0) / span, "qy": (y1 - y0) / span, "span": np.log2(1 + span)}
+            look = {"u": u[w], "v": v[w], "px": (wx[w, K // 2] - x0) / span, "py": (wy[w, K // 2] - y0) / span, "qx": (x1 - x0) / span, "qy": (y1 - y0) / span, "span": np.log2(1 + span), "part": np.log2(span / side[w])}
             out.append({"rep": rep[r[w]], "hash": final(f, g, cu2, cv2), "turned": turned, "at": start[w] - begin[r[w]], "of": counts[r[w]], "look": _pack(look)})
     columns = {c: np.concatenate([o[c] for o in out]) for c in out[0]}
     return pd.DataFrame(columns | {"hash": columns["hash"].view(np.int64), "at": columns["at"].astype(np.int32), "of": columns["of"].astype(np.int32)})
@@ -273,9 +311,11 @@ def _gaps(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, reach: f
     memory nor, for ink that is spread out, its time grows with the product of its points."""
     if a.shape[0] > 1 or a.shape[1] * b.shape[1] <= 4_000_000:
         both = (np.arange(a.shape[1]) < na[:, None])[:, :, None] & (np.arange(b.shape[1]) < nb[:, None])[:, None, :]
-        gap = np.where(both, np.abs(a[:, :, None] - b[:, None, :]), np.inf)
+        gap = (a.real[:, :, None] - b.real[:, None, :]) ** 2  # squares, as roots are wanted of the smallest only
+        gap += (a.imag[:, :, None] - b.imag[:, None, :]) ** 2
+        gap[~both] = np.inf
         near = gap.argmin(2)
-        return np.take_along_axis(gap, near[:, :, None], 2)[:, :, 0], near, gap.min(1)
+        return np.sqrt(np.take_along_axis(gap, near[:, :, None], 2)[:, :, 0]), near, np.sqrt(gap.min(1))
     to_b, near, to_a = np.full(a.shape[1], np.inf), np.zeros(a.shape[1], np.int64), np.full(b.shape[1], np.inf)
     order_a, order_b = np.argsort(a[0].real, kind="stable"), np.argsort(b[0].real, kind="stable")
     along = b[0].real[order_b]
@@ -329,8 +369,7 @@ class _Inks:
     """One side's points of a batch of pairs, without repeated ones."""
 
     def __init__(self, batch: pa.RecordBatch, side: str):
-        x, counts = _flat(batch.column(f"xs_{side}"))
-        self.x, self.y, self.counts = _clean(x, _flat(batch.column(f"ys_{side}"))[0], counts)
+        self.x, self.y, self.counts = _clean(*_points(batch.column(f"points_{side}")))
         self.begin = np.r_[0, np.cumsum(self.counts)[:-1]].astype(np.int64)
         box, off_axis = _frames(self.x, self.y, self.counts)
         self.size = np.hypot(*(box[:, 2:] - box[:, :2]).T)
@@ -345,7 +384,7 @@ class _Inks:
 
 
 def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Align candidate pairs ``(rep_a, rep_b, seeds, at_a, at_b, to_a, to_b, turned, xs_a, ys_a, xs_b, ys_b)``.
+    """Align candidate pairs ``(rep_a, rep_b, seeds, at_a, at_b, to_a, to_b, turned, points_a, points_b)``.
 
     ``at`` and ``to`` are the places of a chain's first and last window on both sides; ink of which one side has no
     shape of its own is aligned as recorded. The result has both coverages.
@@ -390,9 +429,8 @@ def _seeded(probing: bool):
         for batch in batches:
             for i in range(0, batch.num_rows, 5000):
                 part = batch.slice(i, 5000)
-                x, counts = _flat(part.column("xs"))
-                lens = part.column("lens").flatten().to_numpy(zero_copy_only=False)
-                x, y, counts, stroke = _clean(x, _flat(part.column("ys"))[0], counts, np.repeat(np.arange(len(lens)), lens))
+                lens = _values(part.column("lens"), np.int32)[0]
+                x, y, counts, stroke = _clean(*_points(part.column("points")), np.repeat(np.arange(len(lens)), lens))
                 some = counts > 0
                 if some.any():
                     found = seeds_of(part.column("rep").to_numpy()[some], x, y, counts[some], stroke, probing)
@@ -407,15 +445,18 @@ def _chains(shapes: DataFrame, tasks: int) -> DataFrame:
     Seeds go straight into the shuffle of their join; a hash that very many windows share makes a large partition, which
     the adaptive skew join splits over tasks by its map outputs.
     """
-    told, asked = (shapes.where(F.col("train") == train).select("rep", "xs", "ys", "lens").repartition(tasks).mapInArrow(_seeded(not train), SEEDS) for train in (True, False))
+    told, asked = (shapes.where(F.col("train") == train).select("rep", "points", "lens").repartition(tasks).mapInArrow(_seeded(not train), SEEDS) for train in (True, False))
     l, r = told.alias("l"), asked.alias("r")
     # Drawings differ by a few points at most when 85 % of both agree.
     like = (F.col("l.of") >= COVERED * F.col("r.of") - 1) & (F.col("r.of") >= COVERED * F.col("l.of") - 1)
     ours, theirs = _unpacked(F.col("l.look")), _unpacked(F.col("r.look"))
-    slack = F.lit(SLACK + LOOK["u"][1]) + F.lit(STEP) / F.least("l.of", "r.of")
-    drift = F.lit(DRIFT) + F.lit(2 * JITTER) / F.greatest(F.pow(F.lit(2.0), F.least(ours["span"], theirs["span"])) - 1, F.lit(1.0))
+    slack = F.lit(SLACK) + F.lit(STEP) / F.least("l.of", "r.of")
+    shift = F.lit(2 * JITTER) / F.greatest(F.pow(F.lit(2.0), F.least(ours["span"], theirs["span"])) - 1, F.lit(1.0))
+    drift = F.lit(DRIFT) + shift
     for c in ("qx", "qy", "px", "py", "u", "v"):
         like = like & (F.abs(ours[c] - theirs[c]) <= (slack if c in "uv" else drift))
+    # A box that lost an extreme point is smaller by no more than the slack on either side.
+    like = like & (F.abs(ours["part"] - theirs["part"]) <= F.lit(LOOK["part"][2]) + F.log2(1 + 2 * slack) + 1.5 * shift)
     meets = l.join(r, (F.col("l.hash") == F.col("r.hash")) & ((F.col("l.at") < 0) == (F.col("r.at") < 0)) & like).select(
         F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"), F.col("l.at").alias("at_a"), F.col("r.at").alias("at_b"), (F.col("l.turned") != F.col("r.turned")).alias("turned")
     )
@@ -440,14 +481,11 @@ def cross_split_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     coverages, 1 for the first two kinds. Ink without points is like no other ink. Copies are never expanded here.
     """
     spark = rows.sparkSession
-    ours = rows.where(F.col("split").isin("train", "validation", "test")).withColumn("train", F.col("split") == "train")
-    xs, ys, lens = flat_points(F.col("strokes"))
-    flat = ours.select("row_id", "train", "record", xs.alias("xs"), ys.alias("ys"), lens.alias("lens"))
-    bounded = (F.array_max("xs") < 1e9) & (F.array_min("xs") > -1e9) & (F.array_max("ys") < 1e9) & (F.array_min("ys") > -1e9)
-    some = F.exists(F.arrays_zip("xs", "ys"), lambda p: (F.abs(p["xs"]) < 1e9) & (F.abs(p["ys"]) < 1e9))
-    inked = F.coalesce(bounded | some, F.lit(False))
-    code = F.concat_ws(":", F.xxhash64("xs", "ys"), F.xxhash64("ys", "xs"), F.size("xs"))
-    base = Stored(flat.select("row_id", "train", "record", F.when(inked, code).alias("ink")))
+    # A filter on the split would read its name a second time, so rows in no split are left out where ink is packed.
+    side = let(F.col("split"), lambda s: F.when(s.isin("train", "validation", "test"), s == "train"))
+    inks_of = Stored(packed_ink(spread(rows.withColumn("train", side)), ["train", "row_id", "record"]))
+    code = F.concat_ws(":", F.xxhash64("points"), F.crc32("points"), F.length("points"))
+    base = Stored(inks_of.df.select("row_id", "train", "record", F.when(F.col("inked"), code).alias("ink")))
 
     def classes(by: str) -> tuple[Stored, Stored]:
         """The classes of a key, one row ``(key, rep_a, rep_b)`` for each, and the members ``(row_id, train, rep)``."""
@@ -462,13 +500,14 @@ def cross_split_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     inks, of_ink = classes("ink")
     base.drop()
     sides = inks.df.select(F.explode(F.array("rep_a", "rep_b")).alias("row_id")).where("row_id IS NOT NULL")
-    shapes = Stored(flat.join(sides, "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "xs", "ys", "lens"))
+    shapes = Stored(inks_of.df.join(sides, "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "points", "lens"))
+    inks_of.drop()
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     same = inks.df.where("rep_a IS NOT NULL AND rep_b IS NOT NULL").select("rep_a", "rep_b")
     pairs = Stored(_chains(shapes.df, tasks).join(same, ["rep_a", "rep_b"], "left_anti"))
-    ink_a = shapes.df.where("train").select(F.col("rep").alias("rep_a"), F.col("xs").alias("xs_a"), F.col("ys").alias("ys_a"))
-    ink_b = shapes.df.where("NOT train").select(F.col("rep").alias("rep_b"), F.col("xs").alias("xs_b"), F.col("ys").alias("ys_b"))
-    full = pairs.df.join(ink_a, "rep_a").join(ink_b, "rep_b").select("rep_a", "rep_b", "seeds", "at_a", "at_b", "to_a", "to_b", "turned", "xs_a", "ys_a", "xs_b", "ys_b")
+    ink_a = shapes.df.where("train").select(F.col("rep").alias("rep_a"), F.col("points").alias("points_a"))
+    ink_b = shapes.df.where("NOT train").select(F.col("rep").alias("rep_b"), F.col("points").alias("points_b"))
+    full = pairs.df.join(ink_a, "rep_a").join(ink_b, "rep_b").select("rep_a", "rep_b", "seeds", "at_a", "at_b", "to_a", "to_b", "turned", "points_a", "points_b")
     checked = full.mapInArrow(align, "rep_a bigint, rep_b bigint, covered_a double, covered_b double, seeds bigint")
     near = checked.where((F.col("covered_a") >= COVERED) & (F.col("covered_b") >= COVERED))
     one = F.lit(1.0)
