@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkatlas.llm.encoding import repair
+from inkatlas.llm.encoding import garbled_ids, repair
 from inkatlas.sources.tables import table
 
 
@@ -16,7 +16,7 @@ def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents of which a passage is garbled."""
-    return p8_restored(spark, directory).select(F.col("doc_id")).distinct()
+    return garbled_ids(table(spark, directory, "documents").select("doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
 SQL: dict[str, str] = {}
