@@ -185,6 +185,16 @@ def _sequences(data: bytes, gaps: bool, loose: bool = False) -> tuple[str, int]
     return "".join(out), lost
 
 
+def _steps_back(chain: tuple[str, ...]) -> list[tuple]:
+    """Each round of a chain, last first: what wrote and read it, the reader's encoding table, bytes the writer never
+    sends and its characters (null for UTF-8)."""
+    out = []
+    for write, read in zip(chain[-2::-2], chain[::-2]):
+        plain = write != "utf-8"
+        out.append((write, read, None if read == "utf-8" else codecs.charmap_build(_charmap(read)), _table(write)[2] if plain else frozenset(), _charmap(write) if plain else None))
+    return out
+
+
 def ungarble(text: str, chain: tuple[str, ...], loose: bool = False) -> tuple[str, int] | None:
     """The text before the chain, with the number of characters lost on the way; None if it cannot have come from it.
 
@@ -425,9 +435,14 @@ def repair_passage(passage: str, options: list[tuple[int, list[tuple[str, str]],
         parts = re.split(f"({WORD})", passage)
         whole = True
         for i in range(1, len(parts), 2):
-            one = None if chain[1] == "utf-8" else ungarble(parts[i], chain)
-            whole = whole and (one is not None or parts[i] in originals or chain[1] == "utf-8")
-            parts[i] = originals.get(parts[i], one[0] if one else parts[i])
+            if parts[i].isascii():
+                continue
+            if parts[i] in originals:
+                parts[i] = originals[parts[i]]
+            elif chain[1] != "utf-8":
+                one = ungarble(parts[i], chain)
+                whole = whole and one is not None
+                parts[i] = one[0] if one else parts[i]
         if not whole:
             continue
         fixed = "".join(parts)
