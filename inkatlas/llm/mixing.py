@@ -2,8 +2,9 @@
 
 Each record of a source gets the same wanted number of copies, target / available. Its whole part is given outright; the
 fractions are settled by pivotal rounding: two records' fractions exchange mass, weighted by size, until one of them is
-0 or 1. So the source's total of tokens is kept to within one record. Records are paired within cells; each cell leaves
-at most one unsettled record, and these meet in a tree of ever fewer cells.
+0 or 1; a record that is large beside the wanted total exchanges mass with all smaller ones of its cell. So the source's
+total of tokens is kept to within one small record. Each cell leaves at most one unsettled record, and these meet in a
+tree of ever fewer cells.
 """
 
 from __future__ import annotations
@@ -20,52 +21,84 @@ from inkatlas.storage import Stored
 
 #: Records of a source that meet in a cell of the first level, and unsettled records that meet in one of each later.
 CELL_RECORDS, FAN_IN = 20_000, 4_096
+#: Records above this part of a cell's wanted sum are large.
+FINE = 0.0005
 #: A fraction this close to 0 or 1 is settled.
 NEAR = 1e-9
 
 
-def pivotal(ids: np.ndarray, sizes: np.ndarray, shares: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
-    """Round fractions in pairs, keeping the size-weighted sum: ``(fractions, index of the unsettled one or -1)``.
-
-    Of two records i and j mass d moves either way: up to what settles one of them. The direction is drawn with the
-    odds that keep each expectation; draws come from the ids, so a repeated task repeats them.
-    """
-    p = shares.astype(np.float64).copy()
-    mixed = (ids.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+def _draws(ids: np.ndarray, seed: int) -> np.ndarray:
+    mixed = (ids.astype(np.uint64) + np.uint64(seed & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
-    draws = mixed.astype(np.float64) / 2.0**64
-    left = -1
-    for j in range(len(p)):
-        if p[j] <= NEAR or p[j] >= 1 - NEAR:
-            p[j] = round(p[j])
+    return mixed.astype(np.float64) / 2.0**64
+
+
+def _settle_large(p: np.ndarray, w: np.ndarray, draws: np.ndarray) -> None:
+    """Settle, in place, the records larger than FINE of the wanted sum, largest first, each against all smaller ones
+    together: what it takes or leaves changes all their fractions alike. ``w`` descends.
+
+    A record that no fractions of the smaller ones can make room for is left out if they can take its part; one that
+    they can neither make room for nor replace stays as it is.
+    """
+    small = np.r_[np.cumsum((w * p)[::-1])[::-1], 0.0]
+    sizes = np.r_[np.cumsum(w[::-1])[::-1], 0.0]
+    count = int(np.searchsorted(-w, -FINE * small[0])) if len(w) else 0
+    times, plus = 1.0, 0.0  # every smaller fraction is now times * p + plus
+    for k in range(count):
+        q = times * p[k] + plus
+        p[k] = q
+        if q <= NEAR or q >= 1 - NEAR:
             continue
-        if left < 0:
-            left = j
+        mass = times * small[k + 1] + plus * sizes[k + 1]
+        room = sizes[k + 1] - mass
+        up, down = w[k] * (1 - q) <= mass, w[k] * q <= room
+        if not down:
             continue
-        i, wi, wj = left, float(sizes[left]), float(sizes[j])
-        up, down = min(wi * (1 - p[i]), wj * p[j]), min(wi * p[i], wj * (1 - p[j]))  # mass to i, mass to j
-        d = up if draws[j] * (up + down) < down else -down
-        p[i] += d / wi
-        p[j] -= d / wj
-        left = -1
-        for k in (i, j):
-            if p[k] <= NEAR or p[k] >= 1 - NEAR:
-                p[k] = round(p[k])
-            else:
-                left = k
-    return p, left
+        if up and draws[k] < q:
+            p[k], keep = 1.0, 1 - w[k] * (1 - q) / mass
+            times, plus = times * keep, plus * keep
+        else:
+            p[k], keep = 0.0, 1 - w[k] * q / room
+            times, plus = times * keep, plus * keep + 1 - keep
+    p[count:] = times * p[count:] + plus
 
 
-def _round_cells(df: DataFrame, seed: int) -> DataFrame:
-    """Round within each ``(source, cell)``: rows ``(source, id, size, share, open)``.
+def pivotal(ids: np.ndarray, sizes: np.ndarray, shares: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+    """Round fractions, keeping the size-weighted sum: ``(fractions, index of the unsettled one or -1)``.
 
-    Large records come first, so that many small ones are left to settle them and what stays open is small.
+    Large records are settled first, against all smaller ones together. Then records meet in pairs, round by round: mass
+    d moves either way, up to what settles one of the two, and the direction is drawn with the odds that keep each
+    expectation. So the record that stays open is small. Draws come from the ids, so a repeated task repeats them.
     """
+    order = np.lexsort((ids, -sizes))
+    w, ids = sizes[order].astype(np.float64), ids[order]
+    p = shares[order].astype(np.float64)
+    _settle_large(p, w, _draws(ids, seed))
+    open_ = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
+    turn = 0
+    while len(open_) > 1:
+        turn += 1
+        i, j = open_[0 : len(open_) - 1 : 2], open_[1::2]
+        up, down = np.minimum(w[i] * (1 - p[i]), w[j] * p[j]), np.minimum(w[i] * p[i], w[j] * (1 - p[j]))  # mass to i, mass to j
+        d = np.where(_draws(ids[j], seed + 7919 * turn) * (up + down) < down, up, -down)
+        p[i] += d / w[i]
+        p[j] -= d / w[j]
+        open_ = open_[(p[open_] > NEAR) & (p[open_] < 1 - NEAR)]
+    left = int(order[open_[0]]) if len(open_) else -1
+    settled = np.ones(len(p), bool)
+    settled[open_] = False
+    p[settled] = np.rint(p[settled])
+    out = np.empty(len(p))
+    out[order] = p
+    return out, left
+
+
+def _round_cells(df: DataFrame, seed: int) -> DataFrame:
+    """Round within each ``(source, cell)``: rows ``(source, id, size, share, open)``."""
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         p, left = pivotal(pdf["id"].to_numpy(), pdf["size"].to_numpy(), pdf["share"].to_numpy(), seed)
         pdf["share"], pdf["open"] = p, np.arange(len(pdf)) == left
         return pdf[["source", "id", "size", "share", "open"]]

@@ -60,23 +60,39 @@ def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY, quadratic: float = Q
     return where
 
 
+def offsets_in(where: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's place in its container, from 0, and the tokens in front of it; pieces lie there in given order."""
+    order = np.argsort(where, kind="stable")
+    first = np.r_[True, where[order][1:] != where[order][:-1]] if len(order) else np.zeros(0, bool)
+    begin = np.flatnonzero(first)
+    lens = np.diff(np.r_[begin, len(order)])
+    before = np.r_[0, np.cumsum(sizes[order])][:-1]
+    place, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.repeat(begin, lens)
+    offset[order] = before - np.repeat(before[begin], lens)
+    return place, offset
+
+
 def pack(documents: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """``(id, piece, first_token, tokens, pieces, container)``: every text's pieces with their containers.
+    """``(id, piece, first_token, tokens, pieces, container, place, offset)``: every text's pieces with their containers.
 
-    A text of at most ``capacity`` tokens is one piece; a longer one is cut into full pieces and a rest. Null and empty
-    texts are one piece of 0 tokens without a container. Ids that repeat are separate texts. Containers are numbered
-    ``shard:number`` and hold at most ``capacity`` tokens. Nothing is dropped; an empty table gives an empty result.
+    A text of at most ``capacity`` tokens is one piece; a longer one is cut into full pieces and a rest. ``place`` is the
+    piece's order in its container and ``offset`` the tokens in front of it. Null and empty texts are one piece of 0
+    tokens without a container. Rows are separate texts even if their ids repeat. Containers are named ``shard:number``
+    or, if one full piece fills them, ``full:row:piece``, and hold at most ``capacity`` tokens. Nothing is dropped; an
+    empty table gives an empty result.
     """
-    sizes = Stored(with_tokens(documents, id_col, text_col, path=tokenizer)).df
+    sizes = Stored(with_tokens(documents, id_col, text_col, path=tokenizer).withColumn("_row", F.monotonically_increasing_id())).df
     pieces = F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1))
-    cut = sizes.withColumn("pieces", pieces.cast("int")).select("id", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("tokens").alias("_all"))
-    cut = cut.select("id", "piece", (F.col("piece").cast("bigint") * capacity).alias("first_token"), F.least(F.col("_all") - F.col("piece").cast("bigint") * capacity, F.lit(capacity)).alias("tokens"), "pieces")
+    cut = sizes.withColumn("pieces", pieces.cast("int")).select("_row", "id", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("tokens").alias("_all"))
+    cut = cut.select("_row", "id", "piece", (F.col("piece").cast("bigint") * capacity).alias("first_token"), F.least(F.col("_all") - F.col("piece").cast("bigint") * capacity, F.lit(capacity)).alias("tokens"), "pieces")
     full = F.col("tokens") == capacity
     count = cut.where(~full & (F.col("tokens") > 0)).count()
     shards = max(1, round(count / SHARD_PIECES))
     # Full pieces and empty texts need no search.
-    settled = cut.where(full | (F.col("tokens") == 0)).withColumn("container", F.when(full, F.concat_ws(":", F.lit("full"), "id", "piece")))
-    open_ = cut.where(~full & (F.col("tokens") > 0)).repartition(shards, F.xxhash64("id", "piece"))
+    none = F.when(full, F.lit(0).cast("bigint"))
+    settled = cut.where(full | (F.col("tokens") == 0)).select("id", "piece", "first_token", "tokens", "pieces", F.when(full, F.concat_ws(":", F.lit("full"), "_row", "piece")).alias("container"), none.alias("place"), none.alias("offset"))
+    open_ = cut.where(~full & (F.col("tokens") > 0)).repartition(shards, F.xxhash64("_row", "piece"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -84,9 +100,11 @@ def pack(documents: DataFrame, id_col: str, text_col: str, capacity: int = CAPAC
         shard = TaskContext.get().partitionId()
         held = [b for b in batches if len(b)]  # numbers only, about SHARD_PIECES rows
         if held:
-            pdf = pd.concat(held, ignore_index=True).sort_values(["id", "piece"], kind="stable")
-            pdf["container"] = [f"{shard}:{c}" for c in pack_sizes(pdf["tokens"].to_numpy(), capacity)]
+            pdf = pd.concat(held, ignore_index=True).sort_values(["id", "piece", "tokens"], kind="stable").drop(columns="_row")
+            where = pack_sizes(pdf["tokens"].to_numpy(), capacity)
+            pdf["container"] = [f"{shard}:{c}" for c in where]
+            pdf["place"], pdf["offset"] = offsets_in(where, pdf["tokens"].to_numpy())
             yield pdf
 
-    schema = "id bigint, piece int, first_token bigint, tokens bigint, pieces int, container string"
-    return settled.select("id", "piece", "first_token", "tokens", "pieces", "container").unionByName(open_.mapInPandas(fill, schema))
+    schema = "id bigint, piece int, first_token bigint, tokens bigint, pieces int, container string, place bigint, offset bigint"
+    return settled.unionByName(open_.mapInPandas(fill, schema))

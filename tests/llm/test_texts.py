@@ -38,11 +38,38 @@ def test_documents_are_packed_whole(spark):
         held[r["container"]] += r["tokens"]
     assert sum(r["tokens"] for r in by[4]) == tokens[4] and len(by[4]) == -(-tokens[4] // CAPACITY) > 1
     assert sorted(r["first_token"] for r in by[4]) == [i * CAPACITY for i in range(len(by[4]))]
+    inside = defaultdict(list)
+    for r in rows:
+        if r["container"]:
+            inside[r["container"]].append((r["place"], r["offset"], r["tokens"]))
+    for parts in inside.values():
+        parts.sort()
+        assert [p for p, _, _ in parts] == list(range(len(parts))) and [o for _, o, _ in parts] == [sum(t for _, _, t in parts[:i]) for i in range(len(parts))]
     assert len(by[6]) == 2 and by[2][0]["container"] is None and all(v <= CAPACITY for k, v in held.items() if k)
     assert {r["id"] for r in rows if r["pieces"] > 1} == {k for k, v in tokens.items() if v > CAPACITY}
     assert pack(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_texts_with_one_id_share_no_full_container(spark):
+    long = " ".join(f"word{i}" for i in range(2500))
+    rows = pack(spark.createDataFrame([(1, long)] * 5 + [(2, "short")], "doc_id long, text string"), "doc_id", "text").collect()
+    held = defaultdict(int)
+    for r in rows:
+        held[r["container"]] += r["tokens"]
+    assert max(held.values()) <= CAPACITY and len([c for c in held if c.startswith("full")]) == 5 * (rows[0]["pieces"] - 1)
+
+
+@pytest.mark.parametrize("rate", [0.02, 0.3, 0.9])
+def test_what_stays_open_is_small_for_heavy_tails(rate):
+    for seed in range(40):
+        sizes = np.maximum(1, (20 * np.random.default_rng(seed).pareto(1.1, 1500)).astype(int))
+        sizes = np.minimum(sizes, int(sizes.sum() * min(rate, 1 - rate) / 4))  # one that is most of its source has no remedy
+        p, left = M.pivotal(np.arange(1500), sizes, np.full(1500, rate), seed)
+        want = rate * sizes.sum()
+        taken = np.rint(p)  # the open record either way
+        assert abs((taken * sizes).sum() - want) <= max(0.005 * want, sizes.min()), (seed, left)
+
+
 def test_pivotal_keeps_the_weighted_sum_and_the_expectations():
     rng = np.random.default_rng(0)
     sizes, shares = rng.integers(1, 300, 400), rng.random(400)
