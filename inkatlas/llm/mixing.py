@@ -39,8 +39,8 @@ def _settle_large(p: np.ndarray, w: np.ndarray, draws: np.ndarray) -> None:
     """Settle, in place, the records larger than FINE of the wanted sum, largest first, each against all smaller ones
     together: what it takes or leaves changes all their fractions alike. ``w`` descends.
 
-    A record that no fractions of the smaller ones can make room for is left out if they can take its part; one that
-    they can neither make room for nor replace stays as it is.
+    A record that the smaller ones cannot make room for is left out, one that they cannot replace is taken; if they can
+    do neither, it stays as it is.
     """
     small = np.r_[np.cumsum((w * p)[::-1])[::-1], 0.0]
     sizes = np.r_[np.cumsum(w[::-1])[::-1], 0.0]
@@ -54,9 +54,9 @@ def _settle_large(p: np.ndarray, w: np.ndarray, draws: np.ndarray) -> None:
         mass = times * small[k + 1] + plus * sizes[k + 1]
         room = sizes[k + 1] - mass
         up, down = w[k] * (1 - q) <= mass, w[k] * q <= room
-        if not down:
+        if not (up or down):
             continue
-        if up and draws[k] < q:
+        if up and (not down or draws[k] < q):
             p[k], keep = 1.0, 1 - w[k] * (1 - q) / mass
             times, plus = times * keep, plus * keep
         else:
