@@ -2,9 +2,9 @@
 
 Each record of a source gets the same wanted number of copies, target / available. Its whole part is given outright; the
 fractions are settled by pivotal rounding: two records' fractions exchange mass, weighted by size, until one of them is
-0 or 1; a record that is large beside the wanted total exchanges mass with all smaller ones of its cell. So the source's
-total of tokens is kept to within one small record. Each cell leaves at most one unsettled record, and these meet in a
-tree of ever fewer cells.
+0 or 1, the largest first, and what stays open among those of like size exchanges mass with all smaller ones of its cell.
+So the source's total of tokens is kept to within one small record. Each cell leaves at most one unsettled record, and
+these meet in a tree of ever fewer cells.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from inkatlas.storage import Stored
 
 #: Records of a source that meet in a cell of the first level, and unsettled records that meet in one of each later.
 CELL_RECORDS, FAN_IN = 20_000, 4_096
-#: Records above this part of a cell's wanted sum are large.
-FINE = 0.0005
 #: A fraction this close to 0 or 1 is settled.
 NEAR = 1e-9
 
@@ -35,64 +33,74 @@ def _draws(ids: np.ndarray, seed: int) -> np.ndarray:
     return mixed.astype(np.float64) / 2.0**64
 
 
-def _settle_large(p: np.ndarray, w: np.ndarray, draws: np.ndarray) -> None:
-    """Settle, in place, the records larger than FINE of the wanted sum, largest first, each against all smaller ones
-    together: what it takes or leaves changes all their fractions alike. ``w`` descends.
+def _pair_off(p: np.ndarray, w: np.ndarray, open_: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
+    """Pair the ``open_`` records in rounds, in place, until at most one is open; returns that one.
 
-    A record that the smaller ones cannot make room for is left out, one that they cannot replace is taken; if they can
-    do neither, it stays as it is.
+    Mass d moves either way, up to what settles one of the two, with the odds that keep each expectation.
     """
-    small = np.r_[np.cumsum((w * p)[::-1])[::-1], 0.0]
-    sizes = np.r_[np.cumsum(w[::-1])[::-1], 0.0]
-    count = int(np.searchsorted(-w, -FINE * small[0])) if len(w) else 0
-    times, plus = 1.0, 0.0  # every smaller fraction is now times * p + plus
-    for k in range(count):
-        q = times * p[k] + plus
-        p[k] = q
-        if q <= NEAR or q >= 1 - NEAR:
-            continue
-        mass = times * small[k + 1] + plus * sizes[k + 1]
-        room = sizes[k + 1] - mass
-        up, down = w[k] * (1 - q) <= mass, w[k] * q <= room
-        if not (up or down):
-            continue
-        if up and (not down or draws[k] < q):
-            p[k], keep = 1.0, 1 - w[k] * (1 - q) / mass
-            times, plus = times * keep, plus * keep
-        else:
-            p[k], keep = 0.0, 1 - w[k] * q / room
-            times, plus = times * keep, plus * keep + 1 - keep
-    p[count:] = times * p[count:] + plus
+    turn = 0
+    while True:
+        open_ = open_[(p[open_] > NEAR) & (p[open_] < 1 - NEAR)]
+        if len(open_) < 2:
+            return open_
+        turn += 1
+        i, j = open_[0 : len(open_) - 1 : 2], open_[1::2]
+        up, down = np.minimum(w[i] * (1 - p[i]), w[j] * p[j]), np.minimum(w[i] * p[i], w[j] * (1 - p[j]))  # mass to i, mass to j
+        d = np.where(_draws(ids[j], seed + 7919 * turn) * (up + down) < down, up, -down)
+        p[i] += d / w[i]
+        p[j] -= d / w[j]
+
+
+def _settle(p: np.ndarray, w: np.ndarray, k: int, rest: np.ndarray, draw: float) -> bool:
+    """Settle record k against all smaller ones together, in place; False if they can neither make room nor replace it.
+
+    What k takes or leaves is shared out such that every expectation is kept. Where one of the outcomes is beyond the
+    smaller ones (k is larger than all they want together), the other one is taken.
+    """
+    q, ours, size = p[k], p[rest], w[rest]
+    bear = np.minimum(ours / (1 - q), (1 - ours) / q)
+    total = float((size * bear).sum())
+    if w[k] <= total:
+        take = draw < q
+        p[rest] = np.clip(ours - bear * (w[k] / total) * ((1 - q) if take else -q), 0, 1)
+        p[k] = float(take)
+        return True
+    mass = float((size * ours).sum())
+    room = float(size.sum()) - mass
+    up, down = w[k] * (1 - q) <= mass, w[k] * q <= room
+    if not (up or down):
+        return False
+    take = up and (not down or draw < q)
+    p[rest] = ours * (1 - w[k] * (1 - q) / mass) if take else ours + (1 - ours) * (w[k] * q / room)
+    p[k] = float(take)
+    return True
 
 
 def pivotal(ids: np.ndarray, sizes: np.ndarray, shares: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
     """Round fractions, keeping the size-weighted sum: ``(fractions, index of the unsettled one or -1)``.
 
-    Large records are settled first, against all smaller ones together. Then records meet in pairs, round by round: mass
-    d moves either way, up to what settles one of the two, and the direction is drawn with the odds that keep each
-    expectation. So the record that stays open is small. Draws come from the ids, so a repeated task repeats them.
+    Records of like size (within a factor of two) exchange mass in pairs, the largest first. The one that stays open is
+    settled against all smaller ones together, so that what is open at last is small. Draws come from the ids, so a
+    repeated task repeats them.
     """
     order = np.lexsort((ids, -sizes))
     w, ids = sizes[order].astype(np.float64), ids[order]
     p = shares[order].astype(np.float64)
-    _settle_large(p, w, _draws(ids, seed))
-    open_ = np.flatnonzero((p > NEAR) & (p < 1 - NEAR))
-    turn = 0
-    while len(open_) > 1:
-        turn += 1
-        i, j = open_[0 : len(open_) - 1 : 2], open_[1::2]
-        up, down = np.minimum(w[i] * (1 - p[i]), w[j] * p[j]), np.minimum(w[i] * p[i], w[j] * (1 - p[j]))  # mass to i, mass to j
-        d = np.where(_draws(ids[j], seed + 7919 * turn) * (up + down) < down, up, -down)
-        p[i] += d / w[i]
-        p[j] -= d / w[j]
-        open_ = open_[(p[open_] > NEAR) & (p[open_] < 1 - NEAR)]
-    left = int(order[open_[0]]) if len(open_) else -1
+    draws = _draws(ids, seed)
+    kind = np.floor(np.log2(np.maximum(w, 1)))
+    ends = np.flatnonzero(np.r_[kind[1:] != kind[:-1], True]) + 1 if len(w) else np.zeros(0, np.int64)
+    begin, carried = 0, np.zeros(0, np.int64)
+    for end in ends:
+        carried = _pair_off(p, w, np.r_[carried, np.arange(begin, end)], ids, seed)
+        begin = end
+        if len(carried) and end < len(w) and _settle(p, w, int(carried[0]), np.arange(end, len(w)), float(draws[carried[0]])):
+            carried = carried[:0]
     settled = np.ones(len(p), bool)
-    settled[open_] = False
+    settled[carried] = False
     p[settled] = np.rint(p[settled])
     out = np.empty(len(p))
     out[order] = p
-    return out, left
+    return out, int(order[carried[0]]) if len(carried) else -1
 
 
 def _round_cells(df: DataFrame, seed: int) -> DataFrame:
