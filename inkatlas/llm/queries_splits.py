@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkatlas.functions.names import read_name, read_person
-from inkatlas.llm.components import connected_components
-from inkatlas.llm.splits import extend_ledger, shared_key_links
+from inkatlas.llm.splits import extend_stored_ledger, shared_key_links
 from inkatlas.operators.skew import lookup
 from inkatlas.sources.tables import table
-from inkatlas.storage import Stored
+from inkatlas.storage import Stored, shared_folder
 
 
 def _writer_links(writers: DataFrame) -> DataFrame:
@@ -19,10 +20,48 @@ def _writer_links(writers: DataFrame) -> DataFrame:
     return shared_key_links(writers, "writer_key", [F.when(F.col("dataset").isNotNull() & F.col("writer").isNotNull(), same_writer), read_person(F.col("person_code"))])
 
 
+def _ledger_path(spark: SparkSession) -> str:
+    """A ledger that no other run shares: queries start from none, so that a run repeats another's result."""
+    return f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+
+
+def _writer_sizes(writers: DataFrame) -> DataFrame:
+    return writers.select(F.col("writer_key").alias("node"), F.lit(1).alias("size"))
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Writer rows that belong together with another, with the smallest writer_key of their group."""
-    groups = connected_components(_writer_links(table(spark, directory, "writers")))
-    return groups.select(F.col("node").alias("writer_key"), F.col("component").alias("group_key"))
+    """Writer rows that belong together with another, with the smallest writer_key of their group, from the ledger."""
+    writers = table(spark, directory, "writers")
+    ledger = extend_stored_ledger(_ledger_path(spark), _writer_links(writers), _writer_sizes(writers), table(spark, directory, "split_targets"))
+    several = ledger.where("node <> component").select("component").distinct()
+    return ledger.join(several, "component", "left_semi").select(F.col("node").alias("writer_key"), F.col("component").alias("group_key"))
+
+
+#: Writers first seen before this day come in the first of two batches.
+SECOND_BATCH = "2024-07-01"
+
+
+def _two_batches(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """The ledger after the writers seen before SECOND_BATCH (or at no known time), and after all of them."""
+    writers, targets, path = table(spark, directory, "writers"), table(spark, directory, "split_targets"), _ledger_path(spark)
+    late = F.coalesce(F.col("first_seen") >= F.lit(SECOND_BATCH).cast("timestamp_ntz"), F.lit(False))
+    early, rest = writers.where(~late), writers.where(late)
+    first = extend_stored_ledger(path, _writer_links(early), _writer_sizes(early), targets)
+    return first, extend_stored_ledger(path, _writer_links(writers), _writer_sizes(rest), targets)
+
+
+def p3_batches(spark: SparkSession, directory: str) -> DataFrame:
+    """Every writer row after two batches: its group, and how many groups of the first batch that joins (0: a new one)."""
+    first, second = _two_batches(spark, directory)
+    was = first.select("node", F.col("component").alias("was"))
+    old = second.join(was, "node").groupBy("component").agg(F.countDistinct("was").alias("old_groups"))
+    return second.join(old, "component", "left").select(F.col("node").alias("writer_key"), F.col("component").alias("group_key"), F.coalesce("old_groups", F.lit(0)).alias("old_groups"))
+
+
+def p3_ledger(spark: SparkSession, directory: str) -> DataFrame:
+    """What became of the rows of the second batch's ledger: rows and groups by status, split and split before."""
+    second = _two_batches(spark, directory)[1]
+    return second.groupBy("status", F.col("split").alias("split_name"), F.col("old_split").alias("split_before")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("component").alias("groups"))
 
 
 def _drawing_nodes(spark: SparkSession, directory: str) -> DataFrame:
@@ -43,7 +82,7 @@ def p3_assignment(spark: SparkSession, directory: str) -> DataFrame:
     nodes = _drawing_nodes(spark, directory)
     writers = table(spark, directory, "writers")
     sizes = nodes.select("node", F.lit(1).alias("size")).unionByName(writers.select(F.col("writer_key").alias("node"), F.lit(0).alias("size")))
-    ledger = extend_ledger(None, _writer_links(writers), sizes.groupBy("node").agg(F.sum("size").alias("size")), table(spark, directory, "split_targets"))
+    ledger = extend_stored_ledger(_ledger_path(spark), _writer_links(writers), sizes.groupBy("node").agg(F.sum("size").alias("size")), table(spark, directory, "split_targets"))
     return lookup(nodes, ledger.select("node", "component", "split"), "node").select("row_id", F.col("component").alias("group_key"), F.col("split").alias("split_name"))
 
 
@@ -69,14 +108,23 @@ def _read(column: str) -> str:
     return f"replace(regexp_replace(regexp_replace(upper({_DIGITS.format(column)}), '[^\\p{{L}}\\p{{M}}0-9]+', '|', 'g'), '0*([0-9]+)', '#\\1#', 'g'), '|', '')"
 
 
+def _reach(name: str, where: str = "true") -> str:
+    return f"""w_{name} AS (SELECT writer_key, dataset || '/' || {_read('writer')} AS k1, {_read('person_code')} AS p FROM writers WHERE {where}),
+keyed_{name} AS (SELECT writer_key, 'w:' || k1 AS k FROM w_{name} WHERE k1 IS NOT NULL
+UNION ALL SELECT writer_key, 'p:' || p FROM w_{name} WHERE p NOT IN ('', 'NA', 'NONE', 'UNKNOWN', 'ANONYMOUS')),
+star_{name} AS (SELECT DISTINCT writer_key AS a, min(writer_key) OVER (PARTITION BY k) AS b FROM keyed_{name}),
+twoway_{name} AS (SELECT a, b FROM star_{name} WHERE a <> b UNION SELECT b, a FROM star_{name} WHERE a <> b),
+reach_{name} AS (SELECT a, a AS r FROM twoway_{name} UNION SELECT x.a, y.b FROM reach_{name} x JOIN twoway_{name} y ON x.r = y.a)"""
+
+
+_EARLY = f"coalesce(first_seen < TIMESTAMP '{SECOND_BATCH}', true)"
+
 SQL = {
-    "p3_found": f"""
-WITH RECURSIVE w AS (SELECT writer_key, dataset || '/' || {_read('writer')} AS k1, {_read('person_code')} AS p FROM writers),
-keyed AS (SELECT writer_key, 'w:' || k1 AS k FROM w WHERE k1 IS NOT NULL
-UNION ALL SELECT writer_key, 'p:' || p FROM w WHERE p NOT IN ('', 'NA', 'NONE', 'UNKNOWN', 'ANONYMOUS')),
-star AS (SELECT DISTINCT writer_key AS a, min(writer_key) OVER (PARTITION BY k) AS b FROM keyed),
-twoway AS (SELECT a, b FROM star WHERE a <> b UNION SELECT b, a FROM star WHERE a <> b),
-reach AS (SELECT a, a AS r FROM twoway UNION SELECT reach.a, twoway.b FROM reach JOIN twoway ON reach.r = twoway.a)
-SELECT a AS writer_key, min(r) AS group_key FROM reach GROUP BY a""",
+    "p3_found": f"WITH RECURSIVE {_reach('all')} SELECT a AS writer_key, min(r) AS group_key FROM reach_all GROUP BY a",
+    "p3_batches": f"""WITH RECURSIVE {_reach('all')}, {_reach('early', _EARLY)},
+g AS (SELECT w.writer_key, coalesce(min(r), w.writer_key) AS group_key FROM writers w LEFT JOIN reach_all ON a = w.writer_key GROUP BY w.writer_key),
+e AS (SELECT w.writer_key, coalesce(min(r), w.writer_key) AS was FROM writers w LEFT JOIN reach_early ON a = w.writer_key WHERE {_EARLY} GROUP BY w.writer_key),
+o AS (SELECT group_key, count(DISTINCT was) AS old_groups FROM g JOIN e USING (writer_key) GROUP BY 1)
+SELECT writer_key, g.group_key, coalesce(old_groups, 0) AS old_groups FROM g LEFT JOIN o ON g.group_key = o.group_key""",
 }
-QUERIES = {"p3_found": p3_found, "p3_assignment": p3_assignment, "p3_shares": p3_shares}
+QUERIES = {"p3_found": p3_found, "p3_batches": p3_batches, "p3_ledger": p3_ledger, "p3_assignment": p3_assignment, "p3_shares": p3_shares}

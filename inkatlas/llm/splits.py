@@ -1,6 +1,6 @@
 """Splits that keep related records together (problem 3).
 
-The ledger is a persisted table ``(node, component, split, status)``, one row per record with relations, in which
+The ledger is a persisted table, kept in versions at a path of its own (``extend_stored_ledger``): ``(node, component, split, status)``, one row per record with relations, in which
 ``old_component`` and ``old_split`` keep what a quarantined record had before. A new batch
 brings links; the components of old and new records are merged by label propagation with pointer jumping. A component
 that already has a split keeps it, one without fills the split that lacks most, and one that joins components of
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -135,6 +135,45 @@ def extend_ledger(ledger: DataFrame | None, links: DataFrame, sizes: DataFrame,
     return cut(now.join(had, "node", "left").select("node", "component", "size", "split", "status", F.when(held, F.col("_component")).alias("old_component"), F.when(held, F.col("_split")).alias("old_split")))
 
 
+_VERSION = "version={:09d}"
+
+
+def ledger_versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions of the ledger kept at ``path``, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    return sorted(n for n in names if n.startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of the ledger at ``path``, None if there is none yet."""
+    versions = ledger_versions(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
+
+
+def store_ledger(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
+    """Write ``ledger`` as the next version at ``path``, beside the older ones, and return it as read from there.
+
+    A version counts once its write is committed, so a job that dies leaves the ledger as it was.
+    """
+    versions = ledger_versions(spark, path)
+    number = int(versions[-1].partition("=")[2]) + 1 if versions else 1
+    ledger.write.mode("overwrite").parquet(f"{path}/{_VERSION.format(number)}")
+    return read_ledger(spark, path)
+
+
+def extend_stored_ledger(path: str, links: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``extend_ledger`` of the ledger kept at ``path``: reads its newest version and writes the next one.
+
+    ``path`` lies where its owner keeps tables; ``storage.clear`` does not touch it.
+    """
+    spark = sizes.sparkSession
+    return store_ledger(spark, path, extend_ledger(read_ledger(spark, path), links, sizes, targets))
+
+
 def release(ledger: DataFrame, components: list) -> DataFrame:
     """The ledger with the given quarantined components undone: their records get back their old component and split.
 

@@ -113,3 +113,21 @@ def test_quarantined_records_get_their_splits_back(spark):
     assert two[a]["split"] == QUARANTINE and (two[a]["old_component"], two[a]["old_split"]) == one[a] and (two[b]["old_component"], two[b]["old_split"]) == one[b]
     back = {r["node"]: (r["component"], r["split"]) for r in extend_ledger(release(second, [min(a, b)]), links([]), sizes([]), targets).collect()}
     assert back == one
+
+
+def test_ledger_is_kept_in_versions_at_its_path(spark, tmp_path):
+    from inkatlas import storage
+    from inkatlas.llm import splits as S
+
+    path = f"file://{tmp_path}/ledger"
+    targets = spark.createDataFrame(TARGETS, "split_name string, target_share double")
+    sizes = lambda rows: spark.createDataFrame(rows, "node long, size long")
+    links = lambda rows: spark.createDataFrame(rows, "first long, second long")
+    assert S.read_ledger(spark, path) is None
+    one = {r["node"]: r["split"] for r in S.extend_stored_ledger(path, links([(1, 2)]), sizes([(i, 1) for i in range(1, 30)]), targets).collect()}
+    storage.clear(spark)
+    two = {r["node"]: r for r in S.extend_stored_ledger(path, links([(2, 50)]), sizes([(50, 1)]), targets).collect()}
+    assert len(S.ledger_versions(spark, path)) == 2
+    assert all(two[n]["split"] == s for n, s in one.items()) and two[50]["component"] == 1 and two[50]["status"] == "kept"
+    (tmp_path / "ledger" / "version=000000003").mkdir()  # a job that died while writing
+    assert S.read_ledger(spark, path).count() == 30
