@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
 def p2_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     """The five most similar vectors, however similar, of every vector whose id is divisible by 50."""
     vectors = table(spark, directory, "glyph_vectors")
-    return most_similar(vectors, "vec_id", "embedding", DIMS, NEIGHBOURS, queries=F.col("id") % ASKED == 0, probes=64)
+    return most_similar(vectors, "vec_id", "embedding", DIMS, NEIGHBOURS, queries=F.col("id") % ASKED == 0)
 
 
 SQL: dict[str, str] = {}

@@ -72,3 +72,19 @@ def test_small_tables(spark):
     assert N.most_similar(spark.createDataFrame([], schema), "vec_id", "e", 8).count() == 0
     assert N.most_similar(spark.createDataFrame([(1, [1.0] * 8)], schema), "vec_id", "e", 8).count() == 0
     assert found(N.most_similar(spark.createDataFrame([(1, [1.0] * 8), (2, [1.0] * 8), (3, None)], schema), "vec_id", "e", 8)) == {1: [2], 2: [1]}
+
+
+def test_probes_are_as_many_as_the_recall_needs():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = N._centres(x, 60, 1)
+    assert 50 <= len(centres) <= 70
+    probes = N.probes_for(x, centres, 5, -1)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    near = np.argsort(-s, axis=1)[:, :5]
+    asked = np.argsort(-(x @ centres.T), axis=1)[:, :probes]
+    of = (x @ centres.T).argmax(1)
+    assert (of[near][:, :, None] == asked[:, None, :]).any(2).mean() > 0.95
+    assert N.FEWEST <= N.probes_for(x, centres, 5, 0.99) <= probes < len(centres)
