@@ -13,25 +13,24 @@ DRAWN_AS = {"-": 0x2212, "'": 0x2032}
 ESCAPED = "{}%#&$_"
 
 
+#: The word in a styled letter's name, and the commands of its alphabet.
+ALPHABETS = {"DOUBLE-STRUCK": ("mathbb",), "SCRIPT": ("mathcal", "mathscr"), "FRAKTUR": ("mathfrak",), "BLACK-LETTER": ("mathfrak",)}
+
+
 def _styled_letters() -> list[tuple[str, str, int]]:
-    """``(command, letter, code point)`` of styled letters, found by their decomposition in the Unicode database."""
+    """``(command, letter, code point)`` of styled letters: the characters that decompose to a letter or digit in another
+    font, by the style their names tell. Where a letter has two, the one among the mathematical alphabets counts."""
     import unicodedata
 
-    #: Commands and the words of the names of their alphabets.
-    styles = {"mathbb": "DOUBLE-STRUCK", "mathcal": "SCRIPT", "mathscr": "SCRIPT", "mathfrak": "FRAKTUR"}
-    other = {"FRAKTUR": "BLACK-LETTER"}
-    out = []
-    for command, style in styles.items():
-        for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789":
-            kind = "CAPITAL" if letter.isupper() else "SMALL"
-            what = f"DIGIT {unicodedata.name(letter).split()[-1]}" if letter.isdigit() else f"{kind} {letter.upper()}"
-            for name in (f"MATHEMATICAL {style} {what}", f"{style} {what}", f"{other.get(style, style)} {what}"):
-                try:
-                    out.append((command, letter, ord(unicodedata.lookup(name))))
-                    break
-                except KeyError:
-                    continue
-    return out
+    found = {}
+    for cp in range(0x2100, 0x1D800):
+        font, _, base = unicodedata.decomposition(chr(cp)).partition("<font> ")
+        words = set(unicodedata.name(chr(cp), "").split())
+        letter = chr(int(base, 16)) if base else ""
+        if font or not letter.isascii() or not letter.isalnum() or words & {"BOLD", "ITALIC"}:
+            continue
+        found |= {(command, letter): cp for style, commands in ALPHABETS.items() if style in words for command in commands}
+    return [(command, letter, cp) for (command, letter), cp in found.items()]
 
 
 def formula_characters(formulas: DataFrame, id_col: str, formula_col: str, commands: DataFrame) -> DataFrame:

@@ -46,6 +46,8 @@ def best_matches(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
         qs = pdf[ask].sort_values("q", kind="stable")
         ids, qfirst = np.unique(qs["q"].to_numpy(dtype=np.int64), return_index=True)
         w = np.stack(qs["vector"].to_numpy())
+        in_keys = np.lexsort((cps, keys))
+        key_starts = np.flatnonzero(np.r_[True, keys[in_keys][1:] != keys[in_keys][:-1]])
         results = []
         starts = np.r_[qfirst, len(w)]
         for i in range(0, len(ids), 256):
@@ -53,13 +55,25 @@ def best_matches(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
             sim = np.maximum.reduceat(w[starts[i] : starts[j]] @ v.T, first, axis=1)
             sim = np.maximum.reduceat(sim, qfirst[i:j] - qfirst[i], axis=0)
             total = sim + bonus[None]
-            order = np.argsort(-total, axis=1, kind="stable")  # equal scores stay in order of code points
-            ranked = keys[order]
-            for r in range(j - i):
-                _, seen = np.unique(ranked[r], return_index=True)
-                places = np.sort(seen)[:n]
-                c = order[r][places]
-                results.append(pd.DataFrame({"q": ids[i + r], "key": keys[c], "code_point": cps[c].astype(np.int32), "similarity": sim[r, c], "score": total[r, c]}))
+            # Places of keys: characters stand in order of keys, so a key's best is a maximum over a run.
+            by_key = np.maximum.reduceat(total[:, in_keys], key_starts, axis=1)
+            m = min(n, by_key.shape[1])
+            edge = np.partition(by_key, by_key.shape[1] - m, axis=1)[:, by_key.shape[1] - m]
+            r, g = np.nonzero(by_key >= edge[:, None])  # ties at the edge are put in order below
+            ends = np.r_[key_starts, len(in_keys)]
+            lens = (ends[1:] - ends[:-1])[g]
+            at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(key_starts[g], lens)
+            rr, c = np.repeat(r, lens), in_keys[at]
+            best = total[rr, c] == np.repeat(by_key[r, g], lens)
+            rr, c, kk = rr[best], c[best], np.repeat(g, lens)[best]
+            first_of = np.r_[True, (rr[1:] != rr[:-1]) | (kk[1:] != kk[:-1])]  # the smallest code point of equal ones
+            rr, c = rr[first_of], c[first_of]
+            order = np.lexsort((cps[c], -total[rr, c], rr))
+            rr, c = rr[order], c[order]
+            new = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
+            keep = np.arange(len(rr)) - np.repeat(new, np.diff(np.r_[new, len(rr)])) < n
+            rr, c = rr[keep], c[keep]
+            results.append(pd.DataFrame({"q": ids[i + rr], "key": keys[c], "code_point": cps[c].astype(np.int32), "similarity": sim[rr, c], "score": total[rr, c]}))
         return pd.concat(results, ignore_index=True) if results else out
 
     found = held.unionByName(asks).groupBy("part", "chunk").applyInPandas(score, "q bigint, key bigint, code_point int, similarity double, score double")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,38 +81,39 @@ def archive_drawings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(stem.alias("sample_id"), part(1).alias("alphabet"), part(2).cast("int").alias("number"), part(4).alias("drawer"), F.concat(part(1), F.lit("/drawer"), part(4)).alias("writer"), F.concat(part(1), F.lit("/character"), part(2)).alias("label"), stroke_file(F.col("text")).alias("strokes")).where(F.size("strokes") > 0)
 
 
+#: The head of a block (character, site, writer, repetition), its number of strokes, and a stroke.
+WORD_HEAD = re.compile(r"WORD (\S+) [^_\s]*_([^_\s]*)_([^-\s]*)-(\d+)")
+WORD_COUNT, WORD_STROKE = re.compile(r"NUMSTROKES\s+(\d+)"), re.compile(r"POINTS\s+(\d+)\s*#([^\r\n]*)")
+
+
 def pen_words(text: str) -> Iterator[tuple[str, str, int, list[list[dict[str, float]]]]]:
-    """``(character, writer, repetition, strokes)`` of WORD blocks; raises if a stroke's points do not match its count."""
-    lines = iter(line.rstrip("\r") for line in text.split("\n"))
-    for line in lines:
-        if not line.startswith("WORD "):
-            continue
-        _, character, name = line.split(" ", 2)
-        site, rest = name.strip().split("_")[1:3]
-        writer, repetition = rest.split("-")
-        strokes = []
-        for _ in range(int(next(lines).split()[1])):
-            head, _, tail = next(lines).partition("#")
-            numbers = [float(v) for v in tail.split()]
-            if len(numbers) != 2 * int(head.split()[1]):
-                raise ValueError(f"wrong number of coordinates in {name.strip()}")
-            strokes.append([{"x": x, "y": y} for x, y in zip(numbers[::2], numbers[1::2])])
-        yield character, f"{site}_{writer}", int(repetition), strokes
+    """``(character, writer, repetition, strokes)`` of WORD blocks; raises if a block's strokes or a stroke's points do
+    not match their counts."""
+    heads = list(WORD_HEAD.finditer(text))
+    for head, end in zip(heads, [h.start() for h in heads[1:]] + [len(text)]):
+        block = text[head.end() : end]
+        count, drawn = WORD_COUNT.search(block), WORD_STROKE.findall(block)
+        strokes = [np.array(numbers.split(), float) for _, numbers in drawn]
+        if count is None or int(count.group(1)) != len(drawn) or any(2 * int(n) != len(s) for (n, _), s in zip(drawn, strokes)):
+            raise ValueError(f"wrong number of coordinates or strokes in {head.group()}")
+        character, site, writer, repetition = head.groups()
+        yield character, f"{site}_{writer}", int(repetition), [[{"x": x, "y": y} for x, y in s.reshape(-1, 2).tolist()] for s in strokes]
 
 
 def pen_drawings(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id, writer, label, repetition, strokes)`` of text files of WORD blocks, one file a task."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = [(f"{w}-{c}-{r}", w, c, r, json.dumps(s)) for c, w, r, s in pen_words(bytes(content).decode("utf-8"))]
-                yield pd.DataFrame(rows, columns=["sample_id", "writer", "label", "repetition", "json"])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "sample_id string, writer string, label string, repetition int, json string")
-    return rows.select("sample_id", "writer", "label", "repetition", F.from_json("json", STROKES).alias("strokes")).where(F.size("strokes") > 0)
+    point = pa.struct([("x", pa.float32()), ("y", pa.float32())])
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(point))]
+    names = ["sample_id", "writer", "label", "repetition", "strokes"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = [(f"{w}-{c}-{r}", w, c, r, s) for c, w, r, s in pen_words(content.as_py().decode("utf-8"))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=names)
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, f"sample_id string, writer string, label string, repetition int, strokes {STROKES}")
+    return rows.where(F.size("strokes") > 0)
 
 
 def labelled_drawings(spark: SparkSession, path: str) -> DataFrame:

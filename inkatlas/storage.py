@@ -1,34 +1,27 @@
 """Written intermediate tables: the way iterative operators cut lineage so that lost executors cost no earlier round.
 
-Tables go to the folder the cluster names in ``spark.checkpoint.dir``, which all executors share. Only where that
-setting is absent (tests on one machine) is a temporary folder used.
+Tables go to the folder the cluster names in ``spark.checkpoint.dir``, which all executors share, or to the one the
+caller has set as the context's checkpoint folder. There is no other.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
 _WRITTEN: dict[str, list[Stored]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables. Raises on a cluster that names none."""
+    """The folder for intermediate tables. Raises if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/") + "/inkatlas"
     set_by_caller = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_by_caller.isDefined():
         return set_by_caller.get().rstrip("/") + "/inkatlas"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="inkatlas-")
-    return _FALLBACK[app]
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 class Stored:

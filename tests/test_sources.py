@@ -70,7 +70,7 @@ def test_confusables_and_aliases(spark, ucd_dir, tmp_path, rows):
     assert ("Qaai", "Inherited") in rows(ucd.script_aliases(spark, str(ucd_dir / "PropertyValueAliases.txt")))
 
 
-DUMP = "junk\nCOPY samples (id, key, strokes) FROM stdin;\n1\talpha\t[[[10,20,1362942716695],[12,25,1362942716700]],[],[[30,40,1362942716800]]]\n2\tbeta\t[]\n3\talpha\t[[[5,5]]]\n\\.\n4\tno\t[[[1,2,3]]]\n"
+DUMP = "junk\nCOPY samples (id, key, strokes) FROM stdin;\n1\talpha\t[[[10,20,1500000000123],[12,25,1500000000140]],[],[[30,40,1500000000990]]]\n2\tbeta\t[]\n3\talpha\t[[[5,5]]]\n\\.\n4\tno\t[[[1,2,3]]]\n"
 
 
 @pytest.mark.parametrize("zipped", [True, False])
@@ -80,9 +80,9 @@ def test_copy_block_of_a_dump(spark, tmp_path, zipped):
     got = {r["sample_id"]: r for r in inks.dump_drawings(spark, str(path)).collect()}
     assert sorted(got) == [1, 2, 3]
     assert [[(p["x"], p["y"]) for p in s] for s in got[1]["strokes"]] == [[(10, 20), (12, 25)], [(30, 40)]]
-    assert got[1]["first_ms"] == 1362942716695 and got[2]["first_ms"] is None and got[3]["first_ms"] is None
+    assert got[1]["first_ms"] == 1500000000123 and got[2]["first_ms"] is None and got[3]["first_ms"] is None
     writers = [r[0] for r in inks.dump_drawings(spark, str(path)).orderBy("sample_id").select(T.pseudo_writer(F.col("first_ms"))).collect()]
-    assert writers == ["day-2013-03-10", "day-unknown", "day-unknown"]
+    assert writers == ["day-2017-07-14", "day-unknown", "day-unknown"]
 
 
 def test_stroke_archives(spark, tmp_path):
