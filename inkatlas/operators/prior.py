@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkatlas.functions.text import code_point_of, is_space
+from inkatlas.functions.text import char_of, is_space
 from inkatlas.operators.parallel import spread
 
 
 def character_counts(documents: DataFrame, language: str, text: str) -> DataFrame:
     """``(language, code_point, n)``: occurrences of each character that is no white space, per language.
 
-    White space is dropped after counting, on distinct characters. Rows with a null language are left out.
+    Characters are counted on the bytes of whole batches of texts, so a task gives one row for each language and
+    character of a batch, not one for each character of its texts. White space is dropped after counting, on distinct
+    characters. Rows with a null language are left out.
     """
-    texts = spread(documents.where(F.col(language).isNotNull()).select(F.col(language).alias("language"), F.col(text).alias("text")))
-    counted = texts.select("language", F.explode(F.split("text", "")).alias("ch")).groupBy("language", "ch").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("ch") != "").where(~is_space(F.col("ch"))).select("language", code_point_of(F.col("ch")).alias("code_point"), "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            for number, name in enumerate(coded.dictionary):
+                # One language's texts lie behind one another in one buffer.
+                texts = batch.column(1).filter(pa.array(which == number)).drop_null().cast(pa.large_string())
+                data, ends = texts.buffers()[2], texts.buffers()[1]
+                if data is None or not len(texts):
+                    continue
+                ends = np.frombuffer(ends, np.int64)
+                octets = np.frombuffer(data, np.uint8)[ends[texts.offset] : ends[texts.offset + len(texts)]]
+                counts = {c: int(n) for c, n in enumerate(np.bincount(octets[octets < 128], minlength=128)) if n}
+                beyond = np.frombuffer(octets[octets > 127].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+                if len(beyond):
+                    n = np.bincount(beyond)
+                    found = np.flatnonzero(n)
+                    counts |= dict(zip(found.tolist(), n[found].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(counts), pa.string()), pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["language", "code_point", "n"])
+
+    texts = spread(documents.select(F.col(language).alias("language"), F.col(text).alias("text")).where("language IS NOT NULL AND text IS NOT NULL"))
+    counted = texts.mapInArrow(run, "language string, code_point int, n bigint").groupBy("language", "code_point").agg(F.sum("n").alias("n"))
+    return counted.where(~is_space(char_of(F.col("code_point"))))
 
 
 def log_prior(counts: DataFrame, charset: DataFrame, smoothing: float = 0.5) -> DataFrame:

@@ -13,12 +13,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkatlas.storage import Stored
+
 #: Vectors of the index, and queries, that meet in one task.
 PART_VECTORS, CHUNK_QUERIES = 20_000, 4_096
 #: Weight of the log prior in the score.
 PRIOR_WEIGHT = 0.002
 
 
+def _meetings(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """Both sides dealt out so that every query meets every part of the index: ``(part, chunk, q, code_point, key, bonus,
+    vector)``, of which rows of the index have no q.
+
+    Parts come from the number of vectors, which is counted on what was read, before anything is joined to it.
+    """
+    spark = index.sparkSession
+    held_rows, asked_rows = Stored(index), Stored(queries)
+    rows, asked = held_rows.df.count(), asked_rows.df.count()  # the footers of written tables tell
+    parts, chunks = max(1, -(-rows // PART_VECTORS), min(spark.sparkContext.defaultParallelism, rows // 500)), max(1, -(-asked // CHUNK_QUERIES))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    held = held_rows.df.select(F.pmod(F.xxhash64("code_point", "vector"), F.lit(parts)).cast("int").alias("part"), every(chunks).alias("chunk"), F.lit(None).cast("bigint").alias("q"), F.col("code_point").cast("int").alias("code_point"), F.col("key").cast("bigint").alias("key"), F.col("bonus").cast("double").alias("bonus"), F.col("vector").cast("array<double>").alias("vector"))
+    asks = asked_rows.df.select(every(parts).alias("part"), F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("chunk"), F.col("q").cast("bigint").alias("q"), F.lit(None).cast("int").alias("code_point"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("bonus"), F.col("vector").cast("array<double>").alias("vector"))
+    return held.unionByName(asks)
+
+
+def best_by_weight(queries: DataFrame, index: DataFrame, weights: list[float]) -> DataFrame:
+    """``(q, weight, code_point)``: each query's best character for every weight of ``bonus``, from one pass over the
+    similarities. Ties go to the smaller code point."""
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["code_point"].isna().to_numpy()
+        parts = []
+        if ask.any() and not ask.all():
+            own, asked = pdf[~ask].sort_values("code_point", kind="stable"), pdf[ask]
+            cps, bonus = own["code_point"].to_numpy(dtype=np.int64), own["bonus"].to_numpy(dtype=float)
+            v, w, q = np.stack(own["vector"].to_numpy()), np.stack(asked["vector"].to_numpy()), asked["q"].to_numpy(dtype=np.int64)
+            for i in range(0, len(w), 256):
+                sim = w[i : i + 256] @ v.T
+                for weight in weights:
+                    total = sim + weight * bonus
+                    best = total.argmax(1)
+                    parts.append(pd.DataFrame({"q": q[i : i + 256], "weight": weight, "code_point": cps[best].astype(np.int32), "score": total[np.arange(len(best)), best]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"q": np.zeros(0, np.int64), "weight": np.zeros(0), "code_point": np.zeros(0, np.int32), "score": np.zeros(0)})
+
+    found = _meetings(queries, index).groupBy("part", "chunk").applyInPandas(score, "q bigint, weight double, code_point int, score double")
+    return found.groupBy("q", "weight").agg(F.min_by("code_point", F.struct((-F.col("score")).alias("s"), "code_point")).alias("code_point"))
+
+
 def best_matches(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """``(q, rank, key, code_point, similarity, score)``: the n best keys of each query.
 
@@ -27,12 +68,6 @@ def best_matches(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
     key's place is that of its best character, ties go to the smaller code point. A query against an empty index has no
     row. Rows of one query id are one query: its best over all its vectors.
     """
-    spark = index.sparkSession
-    rows, asked = index.count(), queries.count()
-    parts, chunks = max(1, -(-rows // PART_VECTORS), spark.sparkContext.defaultParallelism), max(1, -(-asked // CHUNK_QUERIES))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    held = index.select(F.pmod(F.xxhash64("code_point", "vector"), F.lit(parts)).cast("int").alias("part"), every(chunks).alias("chunk"), F.lit(None).cast("bigint").alias("q"), F.col("code_point").cast("int").alias("code_point"), F.col("key").cast("bigint").alias("key"), F.col("bonus").cast("double").alias("bonus"), F.col("vector").cast("array<double>").alias("vector"))
-    asks = queries.select(every(parts).alias("part"), F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("chunk"), F.col("q").cast("bigint").alias("q"), F.lit(None).cast("int").alias("code_point"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("bonus"), F.col("vector").cast("array<double>").alias("vector"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf["code_point"].isna().to_numpy()
@@ -76,7 +111,7 @@ def best_matches(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
             results.append(pd.DataFrame({"q": ids[i + rr], "key": keys[c], "code_point": cps[c].astype(np.int32), "similarity": sim[rr, c], "score": total[rr, c]}))
         return pd.concat(results, ignore_index=True) if results else out
 
-    found = held.unionByName(asks).groupBy("part", "chunk").applyInPandas(score, "q bigint, key bigint, code_point int, similarity double, score double")
+    found = _meetings(queries, index).groupBy("part", "chunk").applyInPandas(score, "q bigint, key bigint, code_point int, similarity double, score double")
     per_key = Window.partitionBy("q", "key").orderBy(F.desc("score"), "code_point")
     best = found.withColumn("_k", F.row_number().over(per_key)).where("_k = 1")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "code_point"))
@@ -119,7 +154,12 @@ def chooser(characters: DataFrame, keyboards: list[str]) -> DataFrame:
 def padded(ranking: DataFrame, n: int, value: str = "code_point") -> DataFrame:
     """``(q, predictions)``: n predictions in order of rank, -1 where there are fewer."""
     listed = ranking.where(F.col("rank") <= n).groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(value).alias("v")))), lambda e: e["v"]).alias("p"))
-    return listed.select("q", F.concat("p", F.array_repeat(F.lit(-1), F.lit(n) - F.size("p")).cast(listed.schema["p"].dataType)).alias("predictions"))
+    return listed.select("q", filled(F.col("p"), n).cast(listed.schema["p"].dataType).alias("predictions"))
+
+
+def filled(values: Column, n: int) -> Column:
+    """An array with -1 behind its values up to n."""
+    return F.concat(values, F.array_repeat(F.lit(-1), F.lit(n) - F.size(values)))
 
 
 def priority_pick(rows: DataFrame, key: str, choices: DataFrame, choice: str, rank: str) -> DataFrame:

@@ -101,13 +101,14 @@ def status_routing(spark: SparkSession, directory: str) -> DataFrame:
 
 def semi_allowed(spark: SparkSession, directory: str) -> DataFrame:
     """Vectors of characters that someone has drawn."""
-    drawn = table(spark, directory, "drawings").select("code_point")
+    # Distinct first, so that a hot character is one row where it meets the other side.
+    drawn = table(spark, directory, "drawings").select("code_point").distinct()
     return table(spark, directory, "glyph_vectors").select("vec_id", "code_point").join(drawn, "code_point", "left_semi")
 
 
 def anti_dropped(spark: SparkSession, directory: str) -> DataFrame:
     """Characters without any vector."""
-    seen = table(spark, directory, "glyph_vectors").where("code_point IS NOT NULL").select("code_point")
+    seen = table(spark, directory, "glyph_vectors").where("code_point IS NOT NULL").select("code_point").distinct()
     return _records(spark, directory).select("code_point", "block_name").join(seen, "code_point", "left_anti")
 
 
@@ -142,9 +143,9 @@ def fonts_by_character(spark: SparkSession, directory: str) -> DataFrame:
 
 def set_operations(spark: SparkSession, directory: str) -> DataFrame:
     """Characters drawn, rendered and written about: sizes of union, intersection and differences."""
-    drawn = table(spark, directory, "drawings").where("code_point IS NOT NULL").select("code_point")
-    rendered = table(spark, directory, "glyph_vectors").where("code_point IS NOT NULL").select("code_point")
-    written = table(spark, directory, "documents").where("subject_cp IS NOT NULL").select(F.col("subject_cp").alias("code_point"))
+    drawn = table(spark, directory, "drawings").where("code_point IS NOT NULL").select("code_point").distinct()
+    rendered = table(spark, directory, "glyph_vectors").where("code_point IS NOT NULL").select("code_point").distinct()
+    written = table(spark, directory, "documents").where("subject_cp IS NOT NULL").select(F.col("subject_cp").alias("code_point")).distinct()
     parts = {"union": drawn.union(rendered).union(written).distinct(), "intersection": drawn.intersect(rendered).intersect(written), "drawn only": drawn.subtract(rendered).subtract(written), "rendered only": rendered.subtract(drawn).subtract(written)}
     out = None
     for name, df in parts.items():

@@ -177,8 +177,9 @@ def _hits(spark: SparkSession, directory: str) -> DataFrame:
     ranking = R.best_matches(_queries(spark, directory), R.with_bonus(_index(spark, directory), prior_of(spark, directory)), 5)
     records = table(spark, directory, "char_records").select("code_point", _group(), "block_name", F.coalesce("script", F.lit("Unknown")).alias("script"), "charset_group")
     of = records.select(F.col("code_point").alias("pc"), F.col("group").alias("pg"))
-    marked = ranking.join(of, ranking["code_point"] == of["pc"], "left").select("q", "rank", "code_point", F.coalesce("pg", "code_point").alias("pg"))
-    preds = R.padded(marked, 5).join(R.padded(marked, 5, "pg").withColumnRenamed("predictions", "prediction_groups"), "q")
+    marked = ranking.join(of, ranking["code_point"] == of["pc"], "left").select("q", "rank", F.struct("code_point", F.coalesce("pg", "code_point").alias("pg")).alias("p"))
+    listed = marked.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "p"))), lambda e: e["p"]).alias("p"))  # five entries
+    preds = listed.select("q", R.filled(F.col("p")["code_point"], 5).alias("predictions"), R.filled(F.col("p")["pg"], 5).alias("prediction_groups"))
     labelled = _queries(spark, directory).select("q", "label").join(records.withColumnRenamed("code_point", "label"), "label", "left")
     return E.hit_flags(labelled.join(preds, "q", "left").withColumn("label_group", F.coalesce("group", "label")))
 
@@ -210,13 +211,10 @@ def eval_weight_grid(spark: SparkSession, directory: str) -> DataFrame:
     """Top-1 accuracy for several weights of the prior, and the best weight."""
     weights = [0.0, 0.001, 0.002, 0.004, 0.01]
     index, queries = R.with_bonus(_index(spark, directory), prior_of(spark, directory), 1.0), _queries(spark, directory)
-    parts = []
-    for w in weights:
-        top = R.best_matches(queries.select("q", "vector"), index.withColumn("bonus", F.col("bonus") * w), 1)
-        parts.append(queries.select("q", "label").join(top, "q", "left").agg(F.avg(F.coalesce(F.col("code_point") == F.col("label"), F.lit(False)).cast("double")).alias("top1")).withColumn("weight", F.lit(w)))
-    grid = parts[0]
-    for p in parts[1:]:
-        grid = grid.unionByName(p)
+    top = R.best_by_weight(queries.select("q", "vector"), index, weights)
+    each = queries.select("q", "label", F.explode(F.array(*[F.lit(w) for w in weights])).alias("weight"))
+    hit = F.coalesce(F.col("code_point") == F.col("label"), F.lit(False)).cast("double")
+    grid = each.join(top, ["q", "weight"], "left").groupBy("weight").agg(F.avg(hit).alias("top1"))
     best = E.best_setting(grid, "weight", "top1").select(F.col("weight").alias("best_weight"))
     return grid.join(F.broadcast(best)).select("weight", F.round("top1", 6).alias("top1"), (F.col("weight") == F.col("best_weight")).alias("best"))
 
