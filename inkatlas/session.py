@@ -26,5 +26,5 @@ def name_local_folder(spark: SparkSession) -> None:
     """Set ``spark.checkpoint.dir`` for tests and benchmarks on one machine; a session that has one keeps it, and on a
     cluster it must be set by the cluster."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined() and context.master.startswith("local["):
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined() and context.master.partition("[")[0] == "local":
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkatlas-"))
