@@ -13,6 +13,7 @@ moved and scaled. It is compared as recorded: in its place and size.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from inkatlas.functions.vectors import let
 from inkatlas.operators.parallel import spread
 from inkatlas.operators.skew import lookup
-from inkatlas.storage import Stored
+from inkatlas.storage import Stored, unshuffled
 
 #: Segments of a window, winnowing width, direction bins, position cells along the longer side.
 K, WINNOW, DIRECTIONS, CELLS = 4, 3, 20, 12
@@ -44,10 +45,16 @@ CORNER = 12.0
 #: Place of the seed of a drawing compared as recorded.
 RECORDED = -1
 
-SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, look bigint"
+SEEDS = "rep bigint, hash bigint, turned boolean, at int, of int, look bigint, bends bigint"
 #: Bits of ``look``, the smallest value and that of one step: where the window lies in the box, its middle and last point
 #: as seen from its first in parts of its length, the logarithms of its length and of that over the box's longer side.
 LOOK = {"u": (6, 0.0, 1 / 63), "v": (6, 0.0, 1 / 63), **dict.fromkeys(("px", "py", "qx", "qy"), (10, -1.0, 2 / 1023)), "span": (6, 0.0, 1 / 4), "part": (6, -5.0, 1 / 8)}
+#: Bits of ``bends``, likewise: the window's points between those.
+BENDS = dict.fromkeys(("ax", "ay", "bx", "by"), (10, -1.0, 2 / 1023))
+#: Seeds meet in rounds of the hash's values, of which there are up to ROUNDS, one for each ROUND_INKS drawings.
+ROUNDS, ROUND_INKS = 3, 100_000
+#: Pairs, and pairs for each drawing, that are aligned in one batch.
+BATCH_LEAST, BATCH_PAIRS = 100_000, 2
 #: Seeds that meet agree in place to SLACK + STEP / points, as an extreme point may be missing, at most one step of the pen,
 SLACK, STEP = 0.05, 1.5
 #: and their windows in shape, to a part DRIFT of their length and a shift of JITTER units on either side.
@@ -62,9 +69,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def packed_ink(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``(*keep, points, lens, inked)``: ink as bytes, which the JVM hashes, stores and sends without looking inside.
 
-    ``points`` holds x and y of every point in single precision, ``lens`` the number of points of each stroke; both are
-    null for null ink. Null strokes have no points, null coordinates become NaN. ``inked`` tells whether some point is a
-    pair of finite numbers. Rows whose first kept column is null are left out.
+    ``points`` holds x and y of every point, ``lens`` the number of points of each stroke; both are null for null ink.
+    Ink whose coordinates are all whole numbers of 16 bits is held in these, with a further one at its end, so that it
+    has an odd number of them; any other ink in single precision. Null strokes have no points, null coordinates become
+    NaN. ``inked`` tells whether some point is a pair of finite numbers. Rows whose first kept column is null are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +86,21 @@ def packed_ink(rows: DataFrame, keep: list[str]) -> DataFrame:
             begin = np.r_[0, np.cumsum(lens)].astype(np.int64)[first]
             with np.errstate(invalid="ignore"):
                 good = np.r_[0, np.cumsum((np.abs(points) < 1e9).all(1))]
+                short = ((points == np.rint(points)) & (np.abs(points) < 1 << 15)).all(1)
             known = strokes.is_valid()
+            counts = np.diff(begin)
+            whole = (_kept(short, counts) == counts) & (counts > 0)
+            units = np.r_[0, np.cumsum(np.where(whole, 2 * counts + 1, 4 * counts))]
+            packed, of_whole = np.zeros(units[-1], np.int16), np.repeat(whole, counts)
+            packed[_ranges(units[:-1][whole], 2 * counts[whole])] = points[of_whole].astype(np.int16).ravel()
+            packed[_ranges(units[:-1][~whole], 4 * counts[~whole])] = points[~of_whole].view(np.int16).ravel()
 
             def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
                 whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
                 return pc.if_else(known, whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], blobs(points, 8 * begin), blobs(lens, 4 * first), pa.array(good[begin[1:]] > good[begin[:-1]])], names=[*keep, "points", "lens", "inked"])
+                [*[batch.column(c) for c in keep], blobs(packed, 2 * units), blobs(lens, 4 * first), pa.array(good[begin[1:]] > good[begin[:-1]])], names=[*keep, "points", "lens", "inked"])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     flat = rows.select(*keep, F.col("strokes").cast("array<array<struct<x: float, y: float>>>").alias("strokes"))
@@ -128,8 +143,13 @@ def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``x``, ``y`` and the number of points of each row of a column of packed points."""
-    values, lens = _values(column, np.float32)
-    return values[::2].astype(float), values[1::2].astype(float), lens // 2
+    values, units = _values(column, np.int16)
+    whole, start = units % 2 == 1, np.cumsum(units) - units
+    counts = np.where(whole, units // 2, units // 4)
+    of_whole, points = np.repeat(whole, counts), np.zeros((counts.sum(), 2))
+    points[of_whole] = values[_ranges(start[whole], 2 * counts[whole])].reshape(-1, 2)
+    points[~of_whole] = values[_ranges(start[~whole], 4 * counts[~whole])].view(np.float32).reshape(-1, 2)
+    return points[:, 0].copy(), points[:, 1].copy(), counts
 
 
 def _batch(columns: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
@@ -190,18 +210,18 @@ def _has_shape(points: np.ndarray, off_axis: np.ndarray, slack: float = 1.0) ->
     return (points > K) & (off_axis > slack * TOLERANCE)
 
 
-def _pack(values: dict[str, np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(values["u"]), np.uint64)
-    for name, (bits, least, step) in LOOK.items():
+def _pack(values: dict[str, np.ndarray], layout: dict[str, tuple[int, float, float]]) -> np.ndarray:
+    out = np.zeros(len(next(iter(values.values()))), np.uint64)
+    for name, (bits, least, step) in layout.items():
         code = np.clip(np.rint((values[name] - least) / step), 0, (1 << bits) - 1).astype(np.uint64)
         out = (out << np.uint64(bits)) | code
     return out.view(np.int64)
 
 
-def _unpacked(packed: Column) -> dict[str, Column]:
-    """The values of ``look``, each less its smallest."""
-    out, shift = {}, 64
-    for name, (bits, _, step) in LOOK.items():
+def _unpacked(packed: Column, layout: dict[str, tuple[int, float, float]]) -> dict[str, Column]:
+    """The values of ``look`` or ``bends``, each less its smallest."""
+    out, shift = {}, sum(bits for bits, _, _ in layout.values())
+    for name, (bits, _, step) in layout.items():
         shift -= bits
         out[name] = F.shiftrightunsigned(packed, shift).bitwiseAND((1 << bits) - 1) * F.lit(step)
     return out
@@ -228,21 +248,27 @@ def _corner_seeds(box: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarra
     return which, h
 
 
-def seeds_of(rep: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray, stroke: np.ndarray, probing: bool) -> pd.DataFrame:
+def seeds_of(rep: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray, stroke: np.ndarray, probing: bool, turn: int = 0, rounds: int = 1) -> pd.DataFrame:
     """Winnowed seeds of drawings: all clean points one after another, ``counts`` of them for each (at least one), with
     the number of each point's stroke.
 
     Windows within a stroke are winnowed apart from those across a lift of the pen, so that the same ones are kept when
     the strokes come in another order. Training rows give each kept window's hash; probing (evaluation) rows also the hashes of kept windows of which one
     value, close to the edge of its bin, lies in the next bin. Ink without shape of its own gives the seed of its box as
-    recorded; ink that could be taken for it after losing a point or a little jitter gives both kinds.
+    recorded; ink that could be taken for it after losing a point or a little jitter gives both kinds. Of the ``rounds``
+    parts into which hashes fall only the seeds of part ``turn`` are given.
     """
+
+    def due(h: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((h >> np.uint64(32)) % np.uint64(rounds) == turn)
+
     begin = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
     row = np.repeat(np.arange(len(counts)), counts)
     box, off_axis = _frames(x, y, counts)
     plain = np.flatnonzero((counts <= K + 2) | ~_has_shape(counts, off_axis, 3.0))
     which, h = _corner_seeds(box[plain], probing)
-    out = [{"rep": rep[plain][which], "hash": h, "turned": np.zeros(len(h), bool), "at": np.full(len(h), RECORDED), "of": counts[plain][which], "look": np.zeros(len(h), np.int64)}]
+    which, h = which[due(h)], h[due(h)]
+    out = [{"rep": rep[plain][which], "hash": h, "turned": np.zeros(len(h), bool), "at": np.full(len(h), RECORDED), "of": counts[plain][which], "look": np.zeros(len(h), np.int64), "bends": np.zeros(len(h), np.int64)}]
 
     dx, dy = np.diff(x), np.diff(y)
     n = max(len(dx) - K + 1, 0)
@@ -295,12 +321,16 @@ def seeds_of(rep: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray,
                 for step, near in ((-1, within < EDGE / 2), (1, within > 1 - EDGE / 2)):
                     parts.append((kept[near], f[near], g[near], cu[kept[near]] + step * mu, cv[kept[near]] + step * mv))
         for w, f, g, cu2, cv2 in parts:
-            turned = g < f
+            h = final(f, g, cu2, cv2)
+            here = due(h)
+            w, h, turned = w[here], h[here], (g < f)[here]
             span = length[start[w][:, None] + np.arange(K)].sum(1)
             x0, y0 = np.where(turned, wx[w, K], wx[w, 0]), np.where(turned, wy[w, K], wy[w, 0])
             x1, y1 = np.where(turned, wx[w, 0], wx[w, K]), np.where(turned, wy[w, 0], wy[w, K])
+            second, fourth = np.where(turned, K - 1, 1), np.where(turned, 1, K - 1)
             look = {"u": u[w], "v": v[w], "px": (wx[w, K // 2] - x0) / span, "py": (wy[w, K // 2] - y0) / span, "qx": (x1 - x0) / span, "qy": (y1 - y0) / span, "span": np.log2(1 + span), "part": np.log2(span / side[w])}
-            out.append({"rep": rep[r[w]], "hash": final(f, g, cu2, cv2), "turned": turned, "at": start[w] - begin[r[w]], "of": counts[r[w]], "look": _pack(look)})
+            bends = {"ax": (wx[w, second] - x0) / span, "ay": (wy[w, second] - y0) / span, "bx": (wx[w, fourth] - x0) / span, "by": (wy[w, fourth] - y0) / span}
+            out.append({"rep": rep[r[w]], "hash": h, "turned": turned, "at": start[w] - begin[r[w]], "of": counts[r[w]], "look": _pack(look, LOOK), "bends": _pack(bends, BENDS)})
     columns = {c: np.concatenate([o[c] for o in out]) for c in out[0]}
     return pd.DataFrame(columns | {"hash": columns["hash"].view(np.int64), "at": columns["at"].astype(np.int32), "of": columns["of"].astype(np.int32)})
 
@@ -422,8 +452,8 @@ def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch({"rep_a": (col["rep_a"][rows], pa.int64()), "rep_b": (col["rep_b"][rows], pa.int64()), "covered_a": (of_a, pa.float64()), "covered_b": (of_b, pa.float64()), "seeds": (col["seeds"][rows], pa.int64())})
 
 
-def _seeded(probing: bool):
-    kinds = {"rep": pa.int64(), "hash": pa.int64(), "turned": pa.bool_(), "at": pa.int32(), "of": pa.int32(), "look": pa.int64()}
+def _seeded(probing: bool, turn: int, rounds: int):
+    kinds = {"rep": pa.int64(), "hash": pa.int64(), "turned": pa.bool_(), "at": pa.int32(), "of": pa.int32(), "look": pa.int64(), "bends": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,33 +463,38 @@ def _seeded(probing: bool):
                 x, y, counts, stroke = _clean(*_points(part.column("points")), np.repeat(np.arange(len(lens)), lens))
                 some = counts > 0
                 if some.any():
-                    found = seeds_of(part.column("rep").to_numpy()[some], x, y, counts[some], stroke, probing)
+                    found = seeds_of(part.column("rep").to_numpy()[some], x, y, counts[some], stroke, probing, turn, rounds)
                     yield _batch({c: (found[c].to_numpy(), t) for c, t in kinds.items()})
 
     return run
 
 
-def _chains(shapes: DataFrame, tasks: int) -> DataFrame:
-    """Pairs of representatives whose seeds meet, with their best chain.
+def _meets(shapes: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """Seeds of both sides that meet in one of the rounds: ``(rep_a, rep_b, at_a, at_b, turned)``.
 
     Seeds go straight into the shuffle of their join; a hash that very many windows share makes a large partition, which
     the adaptive skew join splits over tasks by its map outputs.
     """
-    told, asked = (shapes.where(F.col("train") == train).select("rep", "points", "lens").repartition(tasks).mapInArrow(_seeded(not train), SEEDS) for train in (True, False))
+    told, asked = (spread(shapes.where(F.col("train") == train).select("rep", "points", "lens")).mapInArrow(_seeded(not train, turn, rounds), SEEDS) for train in (True, False))
     l, r = told.alias("l"), asked.alias("r")
     # Drawings differ by a few points at most when 85 % of both agree.
     like = (F.col("l.of") >= COVERED * F.col("r.of") - 1) & (F.col("r.of") >= COVERED * F.col("l.of") - 1)
-    ours, theirs = _unpacked(F.col("l.look")), _unpacked(F.col("r.look"))
+    ours, theirs = (_unpacked(F.col(f"{s}.look"), LOOK) | _unpacked(F.col(f"{s}.bends"), BENDS) for s in "lr")
     slack = F.lit(SLACK) + F.lit(STEP) / F.least("l.of", "r.of")
     shift = F.lit(2 * JITTER) / F.greatest(F.pow(F.lit(2.0), F.least(ours["span"], theirs["span"])) - 1, F.lit(1.0))
     drift = F.lit(DRIFT) + shift
-    for c in ("qx", "qy", "px", "py", "u", "v"):
-        like = like & (F.abs(ours[c] - theirs[c]) <= (slack if c in "uv" else drift))
+    # The greatest difference is held against a bound, as a join's condition would work out a bound for each anew.
+    for names, most in ((("qx", "qy", "px", "py", *BENDS), drift), (("u", "v"), slack)):
+        like = like & (F.greatest(*[F.abs(ours[c] - theirs[c]) for c in names]) <= most)
     # A box that lost an extreme point is smaller by no more than the slack on either side.
     like = like & (F.abs(ours["part"] - theirs["part"]) <= F.lit(LOOK["part"][2]) + F.log2(1 + 2 * slack) + 1.5 * shift)
-    meets = l.join(r, (F.col("l.hash") == F.col("r.hash")) & ((F.col("l.at") < 0) == (F.col("r.at") < 0)) & like).select(
+    return l.join(r, (F.col("l.hash") == F.col("r.hash")) & ((F.col("l.at") < 0) == (F.col("r.at") < 0)) & like).select(
         F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"), F.col("l.at").alias("at_a"), F.col("r.at").alias("at_b"), (F.col("l.turned") != F.col("r.turned")).alias("turned")
     )
+
+
+def _chains(meets: DataFrame) -> DataFrame:
+    """Pairs of representatives whose seeds meet, with their best chain."""
     # Seeds of a pair on one line: equal differences of places, equal sums where one side is read backwards.
     line = F.when(F.col("turned"), F.col("at_a") + F.col("at_b")).otherwise(F.col("at_a") - F.col("at_b"))
     place = F.struct("at_a", "at_b")
@@ -469,6 +504,37 @@ def _chains(shapes: DataFrame, tasks: int) -> DataFrame:
     return best.select("rep_a", "rep_b", F.col("c.seeds").alias("seeds"), "c.at.at_a", "c.at.at_b", F.col("c.to.at_a").alias("to_a"), F.col("c.to.at_b").alias("to_b"), "c.turned")
 
 
+def _near(shapes: DataFrame, same: DataFrame) -> list[Stored]:
+    """Pairs of representatives that are aligned and covered, ``same`` pairs left out: ``(rep_a, rep_b, coverage)``.
+
+    Seeds take several times the room of their ink, and drawings of one character meet the more often the more there
+    are of them. So seeds meet in rounds of their hashes, and pairs are chained and aligned in batches of evaluation
+    rows; each round and batch leaves nothing but its table.
+    """
+    inks = shapes.count()
+    rounds = min(ROUNDS, 1 + inks // ROUND_INKS)
+    told = [Stored(_meets(shapes, turn, rounds)) for turn in range(rounds)]
+    meets = functools.reduce(DataFrame.unionByName, [t.df for t in told])
+    pairs_met = meets.agg(F.approx_count_distinct(F.xxhash64("rep_a", "rep_b"))).first()[0]
+    batches = 1 + pairs_met // max(BATCH_LEAST, BATCH_PAIRS * inks)
+    found = []
+    for i in range(batches):
+        def part(df: DataFrame, i: int = i) -> DataFrame:
+            return df.where(F.pmod(F.xxhash64("rep_b"), F.lit(batches)) == i) if batches > 1 else df
+
+        pairs = Stored(_chains(part(meets)).join(part(same), ["rep_a", "rep_b"], "left_anti"))
+        ink_a = shapes.where("train").select(F.col("rep").alias("rep_a"), F.col("points").alias("points_a"))
+        ink_b = part(shapes.where("NOT train").select(F.col("rep").alias("rep_b"), F.col("points").alias("points_b")))
+        full = pairs.df.join(ink_a, "rep_a").join(ink_b, "rep_b").select("rep_a", "rep_b", "seeds", "at_a", "at_b", "to_a", "to_b", "turned", "points_a", "points_b")
+        checked = full.mapInArrow(align, "rep_a bigint, rep_b bigint, covered_a double, covered_b double, seeds bigint")
+        found.append(Stored(checked.where((F.col("covered_a") >= COVERED) & (F.col("covered_b") >= COVERED)).select("rep_a", "rep_b", F.least("covered_a", "covered_b").alias("coverage"))))
+        pairs.drop()
+    for t in told:
+        t.drop()
+    return found
+
+
+@unshuffled
 def cross_split_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of drawings of evaluation splits that also occur in the training split: ``(links, members)``.
 
@@ -480,7 +546,6 @@ def cross_split_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``near`` (aligned within tolerance, both drawings covered to COVERED); coverage is the smaller of both drawings'
     coverages, 1 for the first two kinds. Ink without points is like no other ink. Copies are never expanded here.
     """
-    spark = rows.sparkSession
     # A filter on the split would read its name a second time, so rows in no split are left out where ink is packed.
     side = let(F.col("split"), lambda s: F.when(s.isin("train", "validation", "test"), s == "train"))
     inks_of = Stored(packed_ink(spread(rows.withColumn("train", side)), ["train", "row_id", "record"]))
@@ -502,21 +567,15 @@ def cross_split_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sides = inks.df.select(F.explode(F.array("rep_a", "rep_b")).alias("row_id")).where("row_id IS NOT NULL")
     shapes = Stored(inks_of.df.join(sides, "row_id", "left_semi").select(F.col("row_id").alias("rep"), "train", "points", "lens"))
     inks_of.drop()
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     same = inks.df.where("rep_a IS NOT NULL AND rep_b IS NOT NULL").select("rep_a", "rep_b")
-    pairs = Stored(_chains(shapes.df, tasks).join(same, ["rep_a", "rep_b"], "left_anti"))
-    ink_a = shapes.df.where("train").select(F.col("rep").alias("rep_a"), F.col("points").alias("points_a"))
-    ink_b = shapes.df.where("NOT train").select(F.col("rep").alias("rep_b"), F.col("points").alias("points_b"))
-    full = pairs.df.join(ink_a, "rep_a").join(ink_b, "rep_b").select("rep_a", "rep_b", "seeds", "at_a", "at_b", "to_a", "to_b", "turned", "points_a", "points_b")
-    checked = full.mapInArrow(align, "rep_a bigint, rep_b bigint, covered_a double, covered_b double, seeds bigint")
-    near = checked.where((F.col("covered_a") >= COVERED) & (F.col("covered_b") >= COVERED))
+    near = _near(shapes.df, same)
     one = F.lit(1.0)
     links = Stored(
-        near.select(F.lit("ink").alias("by"), "rep_a", "rep_b", F.lit("near").alias("kind"), F.least("covered_a", "covered_b").alias("coverage"))
+        functools.reduce(DataFrame.unionByName, [t.df for t in near]).select(F.lit("ink").alias("by"), "rep_a", "rep_b", F.lit("near").alias("kind"), "coverage")
         .unionByName(same.select(F.lit("ink").alias("by"), "rep_a", "rep_b", F.lit("ink").alias("kind"), one.alias("coverage")))
         .unionByName(records.df.select(F.lit("record").alias("by"), "rep_a", "rep_b", F.lit("record").alias("kind"), one.alias("coverage")))
     )
-    for table in (pairs, shapes, inks, records):
+    for table in (*near, shapes, inks, records):
         table.drop()
     members = [table.df.select(F.lit(by).alias("by"), "train", "rep", "row_id") for by, table in (("record", of_record), ("ink", of_ink))]
     return links.df, members[0].unionByName(members[1])
@@ -545,6 +604,7 @@ def overlapping_rows(links: DataFrame, members: DataFrame) -> DataFrame:
     return found.groupBy("row_id").agg(F.min("b").alias("b")).select("row_id", *_best(F.col("b")))
 
 
+@unshuffled
 def cross_split_pairs(rows: DataFrame) -> DataFrame:
     """Every pair of a training and an evaluation row that are the same drawing: ``(train_row, row_id, kind, coverage)``.
 

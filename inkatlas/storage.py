@@ -6,7 +6,9 @@ caller has set as the context's checkpoint folder. There is no other.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,26 @@ def clear(spark: SparkSession) -> None:
     """Delete every table this session has written to the shared folder; results not yet consumed can no longer be read."""
     for table in _WRITTEN.pop(spark.sparkContext.applicationId, []):
         table.drop()
+
+
+#: Spark's setting (4.1 or later) that deletes an execution's shuffle files when it ends, instead of some time after.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def unshuffled(operator: Callable[..., object]) -> Callable[..., object]:
+    """An operator of a DataFrame whose jobs leave no shuffle files behind: its written tables are all that stays."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **named):
+        spark = df.sparkSession
+        before = spark.conf.get(_CLEANUP, None)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            return operator(df, *args, **named)
+        finally:
+            if before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+    return run

@@ -1,7 +1,9 @@
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,58 @@ def test_long_pairs_are_swept_to_the_same_distances():
     gap = np.abs(a[0][:, None] - b[0][None])
     assert np.allclose(np.minimum(to_b[0], 60), np.minimum(gap.min(1), 60)) and np.allclose(np.minimum(to_a[0], 60), np.minimum(gap.min(0), 60))
     assert (near[0] == gap.argmin(1))[gap.min(1) <= 60].all()
+
+
+def test_whole_coordinates_take_two_bytes_and_come_back(spark):
+    rng = random.Random(5)
+    whole, parts = ink(rng), [[(x + 0.25, y) for x, y in k] for k in ink(rng)]
+    far = [[(x + 40_000, y) for x, y in k] for k in whole]
+    inks = [whole, parts, [[]], None, far, [[(1.0, float("nan"))]], [[(-32767.0, 32767.0), (0.0, -0.0)]]]
+    got = O.packed_ink(spark.createDataFrame([row(i, "train", s) for i, s in enumerate(inks)], SCHEMA).coalesce(1), ["row_id"]).orderBy("row_id").collect()
+    n = [sum(map(len, s or [])) for s in inks]
+    assert [None if r["points"] is None else len(r["points"]) for r in got] == [4 * n[0] + 2, 8 * n[1], 0, None, 8 * n[4], 8, 10]
+    known = [i for i, s in enumerate(inks) if s]
+    x, y, counts = O._points(pa.array([bytes(got[i]["points"]) for i in known], pa.binary()))
+    assert counts.tolist() == [n[i] for i in known]
+    want = np.array([p for i in known for k in inks[i] for p in k], np.float32)
+    assert np.array_equal(np.stack([x, y], 1), want, equal_nan=True)
+
+
+def test_rounds_and_batches_give_the_same_links(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        s = ink(rng, 2)
+        rows += [row(2 * i, "train", s), row(2 * i + 1, "test", jitter(rng, s))]
+    dots = [row(1000 + i, "train" if i % 2 else "test", [[(rng.uniform(0, 40), rng.uniform(0, 40))]]) for i in range(40)]
+    df = spark.createDataFrame(rows + dots, SCHEMA)
+    links = lambda: sorted(tuple(r) for r in O.cross_split_links(df)[0].collect())
+    once, stored = links(), []
+    monkeypatch.setattr(O, "ROUND_INKS", 40)
+    monkeypatch.setattr(O, "BATCH_LEAST", 20)
+    monkeypatch.setattr(O, "BATCH_PAIRS", 0)
+    kept = O.Stored
+    monkeypatch.setattr(O, "Stored", lambda d: stored.append(d.columns) or kept(d))
+    assert links() == once and len(once) > 60
+    assert stored.count(["rep_a", "rep_b", "at_a", "at_b", "turned"]) == 3
+    assert stored.count(["rep_a", "rep_b", "coverage"]) > 1
+
+
+def test_no_shuffle_files_are_left_behind(spark):
+    rng = random.Random(13)
+    inks = [ink(rng) for _ in range(20)]
+    df = spark.createDataFrame([row(2 * i + j, ("train", "test")[j], s) for i, s in enumerate(inks) for j in range(2)], SCHEMA)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    O.cross_split_links(df)
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
